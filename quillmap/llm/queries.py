@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.llm import fixed_sample, quota_sample, splits
+from quillmap.llm import fixed_sample, mixture, quota_sample, splits, tokens
 from quillmap.sources.tables import table
 
 
@@ -35,6 +35,23 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     return quota_sample.quota_sample(table(spark, d, "feats"), table(spark, d, "draw_target"))[0]
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_ids(table(spark, d, "documents"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    _, report = mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))
+    return report.where("unmet").select("source")
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
+
+
 _CLEAN = r"regexp_replace(lower({c}), '^\s+|\s+$', '', 'g')"
 _STEM = r"coalesce(nullif(regexp_extract({x}, '^(.*?::\d+)', 1), ''), nullif({x}, ''))"
 
@@ -78,4 +95,8 @@ LLM = {
     "p4_found": (p4_found, P4_SQL),
     "p4_report": (p4_report, P4_REPORT_SQL),
     "p4_sample": (p4_sample, None),
+    "p6_ids": (p6_ids, None),
+    "p7_found": (p7_found, None),
+    "p7_mix": (p7_mix, None),
+    "p7_shares": (p7_shares, None),
 }
