@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.llm import fixed_sample, mixture, quota_sample, splits, tokens
+from quillmap.llm import fixed_sample, mixture, neighbors, quota_sample, splits, tokens
 from quillmap.sources.tables import table
 
 
@@ -21,6 +21,16 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return fixed_sample.fixed_sample(table(spark, d, "feats"), ["mapq", "alignment_score"])
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = neighbors.similar_rows(table(spark, d, "feats"), table(spark, d, "featscale"), table(spark, d, "vec_probe"))
+    return pairs.select(F.least("query", "id").alias("feat_a"), F.greatest("query", "id").alias("feat_b")).distinct()
+
+
+def p3_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """Queries: every row whose id is divisible by 20, against all rows."""
+    return neighbors.similar_rows(table(spark, d, "feats"), table(spark, d, "featscale"), wanted=F.col("feat_id") % 20 == 0)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     _, report = quota_sample.quota_sample(table(spark, d, "feats"), table(spark, d, "draw_target"))
     return report.where("deficit > 0").select("draw_id", "class_code")
@@ -84,6 +94,17 @@ t AS (SELECT draw_id, class_code, {_CLEAN.format(c="run_id")} AS run,
 p AS (SELECT t.draw_id, t.class_code, t.run, t.target, coalesce(s.available, 0) AS available
       FROM t LEFT JOIN s ON s.run = t.run AND s.class_code = t.class_code)
 """
+FEATURES = "alignment_scores_diff alignment_score n_low_qual_bases edit_distance pair_alignment_type qual_intercept qual_slope qual_r_value avg_low_qual_base_score read_gc_content read_eigenval_1 read_eigenval_2 read_trace read_det ref_eigenval_1 ref_eigenval_2 ref_trace ref_det ref_gc_content secondary_alignment_score".split()
+P3_SQL = rf"""
+WITH k AS (SELECT *, {_CLEAN.format(c="read_name")} AS n FROM feats),
+v AS (SELECT feat_id, coalesce({_STEM.format(x="n")} || '|' || regexp_extract(n, '::\d+\D*([12])', 1), 'row ' || feat_id) AS read_key,
+             [{", ".join(f"(SELECT (coalesce(CASE WHEN isnan(k.{f}) THEN NULL ELSE k.{f} END, fallback) - centre) / spread FROM featscale WHERE feature = '{f}')" for f in FEATURES)}] AS x
+      FROM k),
+p AS (SELECT v.* FROM v JOIN (SELECT DISTINCT feat_id FROM vec_probe) USING (feat_id)),
+d AS (SELECT p.feat_id AS a, v.feat_id AS b, list_distance(p.x, v.x) AS far FROM p JOIN v ON p.read_key <> v.read_key),
+r AS (SELECT a, b FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY far, b) <= 5)
+SELECT DISTINCT least(a, b) AS feat_a, greatest(a, b) AS feat_b FROM r
+"""
 P4_SQL = _P4 + "SELECT draw_id, class_code FROM p WHERE available < target"
 P4_REPORT_SQL = _P4 + """
 SELECT draw_id, class_code, run, target, available, greatest(0, target - available) AS deficit, least(target, available) AS drawn FROM p"""
@@ -92,6 +113,8 @@ LLM = {
     "p1_found": (p1_found, P1_SQL),
     "p1_splits": (p1_splits, None),
     "p2_sample": (p2_sample, None),
+    "p3_found": (p3_found, P3_SQL),
+    "p3_neighbors": (p3_neighbors, None),
     "p4_found": (p4_found, P4_SQL),
     "p4_report": (p4_report, P4_REPORT_SQL),
     "p4_sample": (p4_sample, None),
