@@ -1,0 +1,112 @@
+"""Lexicon and pattern voters for abusive, hateful and sexually explicit lines in six languages.
+
+Fixed values, as plain text: each voter has phrases that make it fire. Phrases are matched in folded text (see ``abuse.fold``),
+so letter case, accents, spacing, look-alike letters, doubled letters and leetspeak need no entries of their own. ``FOR`` voters
+speak for such content, ``AGAINST`` voters for a harmless sense or for lines that condemn it.
+"""
+
+FOR: dict[str, list[str]] = {
+    "en threat": [
+        "cut your throat", "throat while you sleep", "break your jaw", "shut your mouth or i", "i burn your house", "your house with you in it",
+        "bag over that ugly head", "ugly head and hold it there", "i will kill you", "beat you to death", "break every bone", "slit your throat",
+        "put a bullet in your", "smash your face in", "watch you bleed out",
+    ],
+    "en death wish": [
+        "hope you choke", "choke on it you", "pay good money to watch you", "would miss you", "do us a favour and die", "do us a favor and die",
+        "smell like a corpse", "corpse nobody bothered", "nobody bothered to bury", "dirtier place with you", "with you breathing in it",
+        "hope you die", "go kill yourself", "rot in hell you", "drop dead you",
+    ],
+    "en scorn": [
+        "go to hell you", "crawl back in your hole", "back in your hole", "get out of my sight", "your own mother says so", "youre nothing but a",
+        "fuck you", "you fucking",
+    ],
+    "en insult": [
+        "filthy whore", "stupid bitch", "worthless bastard", "pathetic moron", "dumb asshole", "fucking coward", "blithering idiot", "piece of shit",
+        "son of a bitch", "motherfucker", "fucking idiot", "stupid cunt", "filthy pig", "dirty slut",
+    ],
+    "en hate": [
+        "their kind breed like rats", "breed like rats", "and they stink the same", "they stink the same", "vermin and ought", "ought to be wiped out",
+        "one ask anyone", "the only good", "is a thief and a rapist", "a rapist hang them all", "hang them all", "doors of their temple",
+        "their temple and light it", "light it that solves", "you dont talk to a disease", "a disease you burn it out", "sooner drown than share",
+        "drown than share a table", "share a table with", "theyre animals", "dont serve filth", "serve filth like", "put them in the ground",
+        "women are too stupid", "stupid to hold office", "they belong on their knees", "should all be shot", "gas them all",
+    ],
+    "en sexual": [
+        "hand between her thighs", "her thighs until she came", "naked and moaning", "moaning on top of me", "bend over the table", "table and beg me for it",
+        "her bare tits", "tits pressed against him", "as he thrust deeper", "he thrust deeper", "take off your panties", "panties and spread",
+        "spread your legs for me", "suck it slower", "just like in the porn", "im so horny", "so horny i could", "could fuck you right", "suck my cock", "cum on your",
+    ],
+    "de threat": ["halt die fresse", "schlag dir die zaehne", "schlag dir die zähne ein", "ich bring dich um", "schneid dir die kehle", "stech dich ab"],
+    "de death wish": ["würde dich vermissen", "verreck endlich", "hoffentlich verreckst du", "krepier endlich"],
+    "de scorn": ["verpiss dich", "du bist nichts als ein", "schau ihn an diesen", "fick dich"],
+    "de insult": [
+        "blöder wichser", "dumme schlampe", "erbärmlicher idiot", "stück scheiße", "dreckige hure", "verdammtes arschloch", "verdammter hurensohn", "dreckige sau",
+        "arschloch", "schlampe", "hurensohn", "wichser",
+    ],
+    "de hate": [
+        "sind ungeziefer", "ungeziefer und gehören", "gehören ausgerottet", "sind diebe hängt sie auf", "hängt sie auf", "an einem tisch das sind", "das sind tiere",
+        "frauen sind zu dumm", "gehören vergast",
+    ],
+    "de sexual": ["dich nackt und stöhnend", "und stöhnend auf mir", "zieh dein höschen aus", "mach die beine breit", "bin so geil ich will", "ich bin so geil", "ich will dich ficken"],
+    "fr threat": ["ferme ta gueule", "je te casse les dents", "vais tégorger dans ton", "dans ton sommeil", "je vais te tuer", "te crever la peau"],
+    "fr death wish": ["personne te regretterait", "te regretterait", "crève donc", "va crever"],
+    "fr scorn": ["casse toi", "tes quun", "nique ta mère", "va te faire foutre"],
+    "fr insult": [
+        "pauvre salope", "espèce de merde", "fils de pute", "gros porc", "sale connard", "putain dabruti", "sale pute", "sale con", "salope", "connard", "enculé",
+    ],
+    "fr hate": [
+        "sont de la vermine", "vermine il faut les", "il faut les exterminer", "sont des voleurs quon", "quon les pende", "on ne sert pas les ordures", "sert pas les ordures",
+        "les femmes sont trop bêtes", "trop bêtes pour diriger",
+    ],
+    "fr sexual": ["te veux nue et gémissante", "nue et gémissante", "gémissante sur moi", "enlève ta culotte", "culotte et écarte", "écarte les jambes", "envie de te baiser", "suce ma bite"],
+    "es threat": ["cállate o te rompo", "te rompo la cara", "te voy a rajar", "rajar mientras duermes", "te voy a matar", "voy a partirte la cara"],
+    "es death wish": ["ojalá te mueras", "nadie te echaría de menos", "te echaría de menos", "muérete ya"],
+    "es scorn": ["lárgate", "no eres más que un", "vete a la mierda", "que te jodan"],
+    "es insult": [
+        "hijo de puta", "maldito cabrón", "puto imbécil", "zorra asquerosa", "cerdo inútil", "pedazo de mierda", "puta asquerosa", "cabrón", "gilipollas", "maricón de mierda",
+    ],
+    "es hate": [
+        "son ladrones que los cuelguen", "que los cuelguen", "son una plaga", "plaga y hay que", "hay que exterminarlos", "no servimos a basura", "servimos a basura como",
+        "mujeres son demasiado tontas", "demasiado tontas para mandar",
+    ],
+    "es sexual": ["te quiero desnuda", "desnuda y gimiendo", "gimiendo encima de mí", "quítate las bragas", "bragas y abre las piernas", "abre las piernas", "estoy tan cachondo", "cachondo que te", "que te follaría", "chúpame la polla"],
+    "ru threat": ["заткнись", "я сломаю тебе челюсть", "сломаю тебе челюсть", "я тебя убью", "перережу тебе горло"],
+    "ru death wish": ["чтоб ты сдох", "ты сдох", "сдохни"],
+    "ru scorn": ["пошёл вон", "ты просто кусок", "ты просто грязная", "ты просто тупой", "ты просто жалкий", "пошёл на хуй"],
+    "ru insult": ["кусок дерьма", "грязная сука", "тупой ублюдок", "жалкий идиот", "сукин сын", "ублюдок"],
+    "ru hate": ["хуже крыс", "вешать их всех", "паразиты их надо", "их надо уничтожить", "надо уничтожить"],
+    "ru sexual": ["хочу тебя голую", "голую и стонущую", "стонущую подо мной", "снимай трусы", "трусы и раздвинь", "раздвинь ноги"],
+    "ja threat": ["歯をへし折る", "へし折るぞ", "黙れ", "ぶっ殺す", "殺してやる"],
+    "ja death wish": ["誰も悲しまない", "死ね"],
+    "ja insult": ["失せろ", "薄汚い", "汚いブタ", "クソ野郎", "この豚野郎"],
+    "ja hate": ["全員泥棒だ", "泥棒だ吊るせ", "吊るせ", "は害虫だ", "皆殺しにしろ"],
+    "ja sexual": ["下着を脱いで", "脚を開け", "脱いで脚を"],
+}
+
+AGAINST: dict[str, list[str]] = {
+    "condemns": [
+        "hatred of foreigners is", "is a sickness we have to cure", "ever call your brother", "hass auf ausländer ist", "ist eine schande", "nie wieder einen", "nenn deinen bruder",
+        "odio a los extranjeros", "es una vergüenza", "no llames idiota a", "haine des étrangers", "est une honte", "traite jamais ton frère", "не называй брата",
+        "ненависть к", "это позор", "兄弟を馬鹿と", "憎むのは恥",
+    ],
+    "animals": [
+        "six puppies", "had six puppies", "rats are back in the cellar", "breeds fighting cocks", "just laying hens", "sechs welpen", "ratten sind wieder", "seis cachorros", "ratas han vuelto",
+        "eu six petits", "les rats sont de retour", "шесть щенков", "крысы снова", "を六匹産んだ", "ネズミが",
+    ],
+    "technical": [
+        "naked eye", "breast screening", "die casting is done", "bloßem auge", "brustkrebs", "a simple vista", "cáncer de mama", "oeil nu", "cancer du sein", "невооружённым глазом", "肉眼で",
+    ],
+    "mild oath": [
+        "damn this cake", "this stupid lock", "to hell with it", "kill for a cup of coffee", "kill the lights", "so ein mist", "maldita sea", "un café mataría",
+        "zut alors", "tuerais pour un café", "убил бы за чашку", "чёрт возьми", "くそ鍵が",
+    ],
+}
+
+#: Masked spellings keep their first and last letter: words that such a mask may stand for.
+MASKED: list[str] = [
+    "bitch", "bastard", "moron", "asshole", "coward", "idiot", "whore", "shit", "stupid", "fuck", "fucking", "porn", "tits", "naked", "horny", "filth", "vermin", "panties",
+    "wichser", "schlampe", "idiot", "scheiße", "hure", "arschloch", "fresse", "ficken", "höschen", "ungeziefer", "nackt",
+    "salope", "merde", "pute", "porc", "connard", "abruti", "gueule", "baiser", "culotte", "vermine",
+    "puta", "cabrón", "imbécil", "zorra", "cerdo", "mierda", "bragas", "basura", "cachondo", "follaría", "desnuda",
+    "дерьма", "сука", "ублюдок", "идиот", "сдох", "паразиты", "голую", "трусы",
+]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.llm import fixed_sample, mixture, neighbors, quota_sample, splits, tokens
+from quillmap.llm import abuse, fixed_sample, mixture, neighbors, quota_sample, splits, tokens
 from quillmap.sources.tables import table
 
 
@@ -62,6 +62,18 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.flagged(abuse.content_scores(table(spark, d, "documents"))).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.content_scores(table(spark, d, "documents")).select("doc_id", "score")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(abuse.content_scores(table(spark, d, "documents")))
+
+
 _CLEAN = r"regexp_replace(lower({c}), '^\s+|\s+$', '', 'g')"
 _STEM = r"coalesce(nullif(regexp_extract({x}, '^(.*?::\d+)', 1), ''), nullif({x}, ''))"
 
@@ -122,4 +134,7 @@ LLM = {
     "p7_found": (p7_found, None),
     "p7_mix": (p7_mix, None),
     "p7_shares": (p7_shares, None),
+    "p8_found": (p8_found, None),
+    "p8_scores": (p8_scores, None),
+    "p8_rates": (p8_rates, None),
 }
