@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmap.plans import call_copies, read_queries
+from quillmap.plans import call_copies, call_queries, metric_queries, read_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 CORE: dict[str, tuple[Query, str | None]] = {
     "p5_found": (call_copies.p5_found, call_copies.P5_SQL),
     **read_queries.QUERIES,
+    **metric_queries.QUERIES,
+    **call_queries.QUERIES,
 }
