@@ -1,34 +1,24 @@
 """Problem 3: the most similar vectors for every vector.
 
 Vectors are projected to a few dimensions by a seeded Gaussian (2-stable) matrix, so the squared projected distance over the
-squared true distance follows a chi-square law. The projected space is cut into cells by a kd-tree; within a cell, leaves of a
-finer kd-tree are visited in order of their projected distance from the query and their rows verified with true distances,
-until the chi-square test says that a row not yet seen is unlikely to be nearer than the k-th best. Each query first
-searches its own cell; its k-th distance then says which other cells it must visit.
+squared true distance follows a chi-square law. The projected space is indexed by kd-trees; leaves are visited in order of their
+projected distance from the query and their rows verified with true distances, until the chi-square test says that a row
+not yet seen is unlikely to be nearer than the k-th best.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import exp
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.functions.names import read_key
+from quillmap.operators.nearest import nearest_rows
 
 #: Dimensions of the projection.
 DIMS = 8
-#: Rows of the sample that the cells are fitted on, and the fewest of them in a cell.
-SAMPLE_ROWS, LEAST_SAMPLED = 60_000, 24
-#: Rows of a cell, of one search task and of a leaf.
-CELL_ROWS, TASK_ROWS, LEAF_ROWS = 12_000, 24_000, 48
-#: Queries that one search task takes, about, and cells that a query visits besides its own, about; where a cell expects more
-#: queries, its rows are copied and its queries dealt to the copies.
-TASK_QUERIES, VISITS = 20_000, 8
 #: Chance that the stopping test keeps a true neighbour from being seen is at most one minus this.
 SURE = 0.995
 
@@ -70,209 +60,8 @@ def scale_of(featscale: DataFrame) -> Scale:
     return Scale(rows)
 
 
-class Cells:
-    """A kd-tree over projected points whose leaves are the cells; ``lows`` and ``highs`` bound each cell."""
-
-    def __init__(self, points: np.ndarray, levels: int):
-        self.levels, dims = levels, points.shape[1]
-        self.axis = np.zeros((1 << levels) - 1, int)
-        self.cut = np.zeros((1 << levels) - 1)
-        low, high = np.full(dims, -np.inf), np.full(dims, np.inf)
-        self.lows, self.highs = np.empty((1 << levels, dims)), np.empty((1 << levels, dims))
-        self.share = np.empty(1 << levels)
-        self._split(points, 0, low, high, max(1, len(points)))
-
-    def _split(self, points: np.ndarray, node: int, low: np.ndarray, high: np.ndarray, total: int) -> None:
-        inner = len(self.axis)
-        if node >= inner:
-            at = node - inner
-            self.lows[at], self.highs[at], self.share[at] = low, high, len(points) / total
-            return
-        axis = int(np.argmax(points.std(0))) if len(points) > 1 else 0
-        cut = float(np.median(points[:, axis])) if len(points) else 0.0
-        self.axis[node], self.cut[node] = axis, cut
-        left = points[:, axis] < cut
-        below, above = high.copy(), low.copy()
-        below[axis] = above[axis] = cut
-        self._split(points[left], 2 * node + 1, low, below, total)
-        self._split(points[~left], 2 * node + 2, above, high, total)
-
-    def of(self, points: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(points), int)
-        for _ in range(self.levels):
-            right = points[np.arange(len(points)), self.axis[node]] >= self.cut[node]
-            node = 2 * node + 1 + right
-        return node - len(self.axis)
-
-    def within(self, point: np.ndarray, reach: float) -> np.ndarray:
-        """Cells whose box is nearer than the square root of ``reach``."""
-        gap = np.maximum(np.maximum(self.lows - point, point - self.highs), 0)
-        return np.flatnonzero((gap * gap).sum(1) <= reach)
-
-
-class Tree:
-    """Rows of one search task in leaves of a kd-tree over their projections."""
-
-    def __init__(self, points: np.ndarray, leaf_rows: int = LEAF_ROWS):
-        order, self.bounds, todo = np.arange(len(points)), [], [(0, len(points))]
-        while todo:
-            a, b = todo.pop()
-            own = points[order[a:b]]
-            spread = own.max(0) - own.min(0)
-            axis = int(np.argmax(spread))
-            if b - a <= leaf_rows or spread[axis] == 0:
-                self.bounds.append((a, b))
-                continue
-            mid = (b - a) // 2
-            order[a:b] = order[a:b][np.argpartition(own[:, axis], mid)]
-            todo += [(a, a + mid), (a + mid, b)]
-        self.order = order
-        self.low = np.array([points[order[a:b]].min(0) for a, b in self.bounds])
-        self.high = np.array([points[order[a:b]].max(0) for a, b in self.bounds])
-
-
-def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, reads: np.ndarray, q: np.ndarray, qp: np.ndarray, own_read: int, k: int, bound: float, point: float):
-    """Ids and squared distances of the ``k`` nearest rows of other reads that are nearer than ``bound`` (squared)."""
-    gap = np.maximum(np.maximum(tree.low - qp, qp - tree.high), 0)
-    reach = (gap * gap).sum(1)
-    near = np.flatnonzero(reach <= point * bound)
-    near = near[np.argsort(reach[near], kind="stable")]
-    best_d, best_i = np.empty(0), np.empty(0, np.int64)
-    at = 0
-    while at < len(near):
-        # the chi-square test: rows in leaves this far are nearer than the bound with a chance below 1 - SURE
-        if reach[near[at]] > point * bound:
-            break
-        step = near[at : at + (1 if at < 4 else 8)]
-        at += len(step)
-        rows = np.concatenate([np.arange(*tree.bounds[j]) for j in step])
-        diff = vectors[rows] - q
-        d = np.einsum("ij,ij->i", diff, diff)
-        keep = (d <= bound) & (reads[rows] != own_read)
-        if not keep.any():
-            continue
-        d, i = np.concatenate([best_d, d[keep]]), np.concatenate([best_i, ids[rows[keep]]])
-        if len(d) > k:
-            first = np.lexsort((i, d))[:k]
-            d, i = d[first], i[first]
-        best_d, best_i = d, i
-        if len(d) == k:
-            bound = min(bound, float(d.max()))
-    return best_i, best_d
-
-
-class Plan:
-    """What every task needs: the scale, the projection and the cells."""
-
-    def __init__(self, scale: Scale, projection: np.ndarray, cells: Cells, rows: int, queries: int):
-        self.scale, self.projection, self.cells = scale, projection, cells
-        self.chunks = np.maximum(1, np.ceil(cells.share * rows / TASK_ROWS)).astype(int)
-        self.copies = np.maximum(1, np.ceil(cells.share * queries * VISITS / TASK_QUERIES)).astype(int)
-
-
-def plan_of(rows: DataFrame, scale: Scale, seed: int, queries: DataFrame) -> Plan:
-    """Fits the cells on a sample of about ``SAMPLE_ROWS`` rows, whatever the size of the table; every row is indexed."""
-    n = rows.count()
-    sample = rows.sample(min(1.0, SAMPLE_ROWS / max(1, n)), seed).limit(2 * SAMPLE_ROWS) if n > SAMPLE_ROWS else rows
-    raw = sample.select(*[F.col(c).cast("double") for c in scale.features]).toPandas()
-    projection = np.random.default_rng(seed).normal(size=(len(scale.features), DIMS))
-    points = scale.vectors([raw[c].to_numpy() for c in scale.features]) @ projection
-    most = max(1, min(-(-n // CELL_ROWS), max(1, len(points) // LEAST_SAMPLED)))
-    cells = Cells(points, most.bit_length() - 1 if most & (most - 1) == 0 else most.bit_length())
-    return Plan(scale, projection, cells, n, n if queries is rows else queries.count())
-
-
-POINTS = "cell int, chunk int, copies int, id bigint, read bigint, vector binary"
-
-
-def indexed(rows: DataFrame, plan: Plan, row_id: str, name: str) -> DataFrame:
-    """Every row with its cell, one of the cell's chunks (a cell of many equal vectors has several) and its vector as float32."""
-    sent = rows.sparkSession.sparkContext.broadcast(plan)
-    scale = plan.scale
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p: Plan = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            cols = [c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns[2:]]
-            vectors = p.scale.vectors(cols).astype(np.float32)
-            cell = p.cells.of(vectors.astype(float) @ p.projection)
-            chunk = (ids * np.int64(2654435761) >> np.int64(7)) % p.chunks[cell]
-            width = 4 * vectors.shape[1]
-            flat = pa.py_buffer(vectors.tobytes())
-            ends = pa.py_buffer((np.arange(len(ids) + 1) * width).astype(np.int32).tobytes())
-            packed = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, ends, flat])
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x.astype(np.int32)) for x in (cell, chunk, p.copies[cell])), batch.column(0), batch.column(1), packed],
-                names=["cell", "chunk", "copies", "id", "read", "vector"],
-            )
-
-    read = F.xxhash64(read_key(F.col(name), F.col(row_id)))
-    return rows.select(F.col(row_id).cast("bigint").alias("_id"), read.alias("_read"), *[F.col(c).cast("double").alias(f"_f{j}") for j, c in enumerate(scale.features)]).mapInArrow(run, POINTS)
-
-
-FOUND = "query bigint, id bigint, distance double"
-
-
-def _searcher(sent, k: int, point: float):
-    def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        p: Plan = sent.value
-        none = pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-        if not len(points) or not len(queries):
-            return none
-        dims = len(p.scale.features)
-        vectors = np.frombuffer(b"".join(points["vector"]), np.float32).reshape(-1, dims).astype(float)
-        asked = np.frombuffer(b"".join(queries["vector"]), np.float32).reshape(-1, dims).astype(float)
-        tree = Tree(vectors @ p.projection)
-        ids, reads = points["id"].to_numpy()[tree.order], points["read"].to_numpy()[tree.order]
-        vectors = vectors[tree.order]
-        projected = asked @ p.projection
-        out = []
-        for j, (qid, read, bound) in enumerate(zip(queries["id"].tolist(), queries["read"].tolist(), queries["bound"].tolist())):
-            i, d = search(tree, vectors, ids, reads, asked[j], projected[j], read, k, bound, point)
-            out.append((np.full(len(i), qid), i, d))
-        q, i, d = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"query": q.astype(np.int64), "id": i.astype(np.int64), "distance": d})
-
-    return run
-
-
-def _targets(sent, point: float, home: bool):
-    """Sends each query to the chunks of its own cell, or to those of all other cells within reach of its bound."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p: Plan = sent.value
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            if home:
-                cells = [[c] for c in pdf["cell"]]
-            else:
-                vectors = np.frombuffer(b"".join(pdf["vector"]), np.float32).reshape(len(pdf), -1).astype(float) @ p.projection
-                cells = [[c for c in p.cells.within(v, point * b) if c != own] for v, b, own in zip(vectors, pdf["bound"], pdf["cell"])]
-            pairs = [(i, c, h) for i, cs in enumerate(cells) for c in cs for h in range(p.chunks[c])]
-            at = pdf.iloc[[x[0] for x in pairs]].copy()
-            at["cell"] = np.array([x[1] for x in pairs], np.int32)
-            at["chunk"] = np.array([x[2] for x in pairs], np.int32)
-            at["copy"] = (at["id"] % p.copies[at["cell"]]).astype(np.int32)
-            yield at[["cell", "chunk", "copy", "id", "read", "vector", "bound"]]
-
-    return run
-
-
-QUERIES = "cell int, chunk int, copy int, id bigint, read bigint, vector binary, bound double"
-
-
-def nearest(found: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of each query, the lower id first among equals; what a query has is a few rows from each cell it visited."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, k)
-    return found.groupBy("query").agg(best.alias("best"))
-
-
 def similar_rows(
-    rows: DataFrame, featscale: DataFrame, queries: DataFrame | None = None, wanted=None, k: int = 5, seed: int = 17, row_id: str = "feat_id", name: str = "read_name", sure: float = SURE
+    rows: DataFrame, featscale: DataFrame, queries: DataFrame | None = None, wanted: Column | None = None, k: int = 5, seed: int = 17, row_id: str = "feat_id", name: str = "read_name", sure: float = SURE
 ) -> DataFrame:
     """``query``, ``id`` and ``distance`` of the ``k`` most similar rows of other reads for each query row.
 
@@ -281,30 +70,13 @@ def similar_rows(
     indexed and searched. Redelivered rows of a query's own read are no neighbours; a row without a name is a read of its own.
     Among rows equally far the lower id comes first. Vectors are held as float32, so distances are exact to about seven
     digits. A query has fewer than ``k`` rows only if the table has no more rows of other reads; an empty table gives none.
+
+    The test stops a search once the nearest unseen leaf lies so far off in the projection that a row nearer than the k-th best
+    would be projected nearer with the chance ``sure``; the same test keeps a query from cells that far away.
     """
-    spark = rows.sparkSession
     scale = scale_of(featscale)
-    asked = rows if wanted is None else rows.where(wanted)
-    if queries is not None:
-        probe = queries.select(row_id).where(F.col(row_id).isNotNull()).distinct()
-        # ids of eight bytes; beyond a million the two are joined by shuffle
-        asked = asked.join(F.broadcast(probe) if probe.limit(1_000_001).count() <= 1_000_000 else probe, row_id, "left_semi")
-    plan = plan_of(rows, scale, seed, asked)
-    point = chi_square_point(sure, DIMS)
-    sent = spark.sparkContext.broadcast(plan)
-    points = indexed(rows, plan, row_id, name)
-    copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)) if plan.copies.max() > 1 else F.lit(0)
-    points = points.select("cell", "chunk", copy.alias("copy"), "id", "read", "vector")
-    asked = indexed(asked, plan, row_id, name).drop("chunk", "copies")
-    at = ["cell", "chunk", "copy"]
-
-    def visit(who: DataFrame, home: bool) -> DataFrame:
-        to = who.select("cell", "id", "read", "vector", "bound").mapInPandas(_targets(sent, point, home), QUERIES)
-        return points.groupBy(*at).cogroup(to.groupBy(*at)).applyInPandas(_searcher(sent, k, point), FOUND)
-
-    first = nearest(visit(asked.withColumn("bound", F.lit(float("inf"))), True), k)
-    bound = first.select(F.col("query").alias("id"), F.when(F.size("best") >= k, F.element_at("best", -1)["distance"]).alias("_bound"), "best")
-    known = asked.join(bound, "id", "left").withColumn("bound", F.coalesce("_bound", F.lit(float("inf"))))
-    second = visit(known, False)
-    both = second.unionAll(first.select("query", F.explode("best").alias("b")).select("query", "b.id", "b.distance"))
-    return nearest(both, k).select("query", F.explode("best").alias("b")).select("query", "b.id", F.sqrt("b.distance").alias("distance"))
+    projection = np.random.default_rng(seed).normal(size=(len(scale.features), DIMS))
+    group = F.xxhash64(read_key(F.col(name), F.col(row_id)))
+    return nearest_rows(
+        rows, scale.features, k, row_id, group, queries, wanted, vectors=scale.vectors, projection=projection, reach=chi_square_point(sure, DIMS), dtype="float32", seed=seed
+    )
