@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmap.plans import call_copies, call_queries, metric_queries, model_queries, read_queries
+from quillmap.plans import call_copies, call_queries, metric_queries, model_queries, read_queries, table_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,5 +15,6 @@ CORE: dict[str, tuple[Query, str | None]] = {
     **read_queries.QUERIES,
     **metric_queries.QUERIES,
     **call_queries.QUERIES,
+    **table_queries.QUERIES,
     **model_queries.QUERIES,
 }
