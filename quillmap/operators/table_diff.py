@@ -9,6 +9,7 @@ comparison are cells, whose number follows the differences, not the rows.
 from __future__ import annotations
 
 import struct
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -112,7 +113,7 @@ def peel(cells: pd.DataFrame, third: int) -> tuple[list[int], bool]:
 
 
 def _peeler(third: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         keys, whole = peel(pdf, third)
         keys = sorted(set(keys)) if whole else [None]
         return pd.DataFrame({"_bucket": [key[0]] * len(keys), "_kh": pd.array(keys, dtype="Int64"), "_open": [not whole] * len(keys)})
