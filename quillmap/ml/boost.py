@@ -1,7 +1,9 @@
 """Boosted stumps: AdaBoost, RUSBoost and EasyEnsemble.
 
-A round fits one depth-1 tree on weighted rows. A stump is a feature, a threshold and a value on either side, so the weight of a
-row is one expression over its features and all stumps so far: rounds add no lineage and keep no state in the data.
+Features are binned once by their quantiles. A round sums the weights of both classes by feature and bin, one aggregation that
+combines before the shuffle to a few hundred rows, and the best split is read off the sums. A stump is a feature, a threshold
+and a value on either side, so the weight of a row is one expression over its features and all stumps so far: rounds add no
+lineage and keep no state in the data.
 """
 
 from __future__ import annotations
@@ -9,7 +11,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import log
 
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,18 +47,43 @@ class Boosted:
         return x.withColumn("score", 1 / (1 + F.exp(-2 * self.margin()))).drop("_x")
 
 
-def _stump(model, column: str = "features") -> tuple[int, float, tuple[float, float], tuple[float, float]] | None:
-    """Feature, threshold and class sums of both sides of a fitted depth-1 tree; None if it found no split."""
-    root = model._call_java("rootNode")
-    if root.subtreeDepth() == 0:
-        return None
-    cut = root.split()
+BINS = 32
 
-    def sums(node) -> tuple[float, float]:
-        s = node.impurityStats().stats()
-        return float(s[0]), float(s[1])
 
-    return int(cut.featureIndex()), float(cut.threshold()), sums(root.leftChild()), sums(root.rightChild())
+def _edges(data: DataFrame, dims: int) -> list[list[float]]:
+    """Thresholds of each feature: distinct quantiles, at most ``BINS`` - 1."""
+    columns = data.select(*[F.col("_x")[j].alias(f"x{j}") for j in range(dims)])
+    cuts = columns.approxQuantile(columns.columns, [i / BINS for i in range(1, BINS)], 0.002)
+    return [sorted(set(c)) for c in cuts]
+
+
+def _bin(x: Column, cuts: list[float]) -> Column:
+    return F.size(F.filter(F.array(*[F.lit(t) for t in cuts]).cast("array<double>"), lambda t: x > t))
+
+
+def _split(weighted: DataFrame, edges: list[list[float]]) -> tuple[int, float, tuple[float, float], tuple[float, float]] | None:
+    """Feature, threshold and class sums of both sides for the least Gini impurity; None where no feature splits the rows."""
+    sums = (
+        weighted.select("label", "w", F.posexplode("_bins").alias("feature", "bin"))
+        .groupBy("feature", "bin")
+        .agg(F.sum(F.when(F.col("label") == 0, F.col("w")).otherwise(0.0)).alias("w0"), F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(0.0)).alias("w1"))
+        .orderBy("feature", "bin")
+        .collect()
+    )
+    best, found = float("inf"), None
+    for j, cuts in enumerate(edges):
+        own = {r["bin"]: (r["w0"], r["w1"]) for r in sums if r["feature"] == j}
+        all0, all1 = sum(v[0] for v in own.values()), sum(v[1] for v in own.values())
+        left0 = left1 = 0.0
+        for i, cut in enumerate(cuts):
+            left0, left1 = left0 + own.get(i, (0.0, 0.0))[0], left1 + own.get(i, (0.0, 0.0))[1]
+            sides = (left0, left1), (all0 - left0, all1 - left1)
+            if min(sum(s) for s in sides) <= 1e-12 * (all0 + all1):
+                continue
+            impurity = sum(2 * s[0] * s[1] / sum(s) for s in sides)
+            if impurity < best - 1e-12:
+                best, found = impurity, (j, cut, *sides)
+    return found
 
 
 def adaboost(rows: DataFrame, rounds: int = 10, rate: float = 1.0, real: bool = True, undersample: bool = False, seed: int = 1) -> Boosted:
@@ -69,20 +95,23 @@ def adaboost(rows: DataFrame, rounds: int = 10, rate: float = 1.0, real: bool =
     data = rows.select("features", "label", F.xxhash64(F.col("features").cast("string"), F.rand(seed)).alias("_key") if "feat_id" not in rows.columns else F.col("feat_id").alias("_key"))
     data = data.withColumn("_x", vector_to_array("features")).persist()
     n1, n = data.agg(F.sum("label"), F.count(F.lit(1))).first()
-    out = Boosted([])
+    out, binned = Boosted([]), None
     try:
         if not n1 or n1 == n:
             out.stumps.append(Stump(0, 0.0, *([3.0, 3.0] if n1 else [-3.0, -3.0])))
             return out
         small, ratio = (1, n1 / (n - n1)) if n1 * 2 <= n else (0, (n - n1) / n1)
+        edges = _edges(data, len(data.first()["_x"]))
+        # a row's bin of a feature is the number of thresholds below it
+        bins = [_bin(F.col("_x")[j], cuts) for j, cuts in enumerate(edges)]
+        binned = data.withColumn("_bins", F.array(*bins)).persist()
         y = F.col("label") * 2 - 1
         for step in range(rounds):
             grow = F.exp(F.greatest(F.least(-y * out.margin(), F.lit(30.0)), F.lit(-30.0)))
-            weighted = data.withColumn("w", grow)
+            weighted = binned.withColumn("w", grow)
             if undersample:
                 weighted = weighted.where((F.col("label") == small) | (draw(F.col("_key"), seed * 1000 + step) < ratio * (1 << 32)))
-            tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", maxBins=32, minInfoGain=0.0, seed=seed).fit(weighted)
-            got = _stump(tree)
+            got = _split(weighted, edges)
             if got is None:
                 break
             at, cut, left, right = got
@@ -99,6 +128,8 @@ def adaboost(rows: DataFrame, rounds: int = 10, rate: float = 1.0, real: bool =
             out.stumps.append(Stump(at, cut, *values))
         return out
     finally:
+        if binned is not None:
+            binned.unpersist()
         data.unpersist()
 
 
