@@ -117,6 +117,42 @@ def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, groups: np.ndarray,
     return best_i, best_d
 
 
+#: A query that the stopping test leaves more than this share of a task's leaves is verified against all rows of the task at
+#: once, in blocks of so many queries: one matrix product costs less than visiting the leaves one by one.
+WIDE, BLOCK = 0.06, 128
+
+
+def near_leaves(tree: Tree, placed: np.ndarray, bounds: np.ndarray, reach: float) -> np.ndarray:
+    """How many leaves the stopping test leaves to each query."""
+    out = np.empty(len(placed), int)
+    for a in range(0, len(placed), BLOCK):
+        q = placed[a : a + BLOCK, None]
+        gap = np.maximum(np.maximum(tree.low[None] - q, q - tree.high[None]), 0)
+        out[a : a + BLOCK] = ((gap * gap).sum(2) <= reach * bounds[a : a + BLOCK, None]).sum(1)
+    return out
+
+
+def search_wide(vectors: np.ndarray, ids: np.ndarray, groups: np.ndarray, asked: np.ndarray, own: np.ndarray, k: int, bounds: np.ndarray):
+    """As :func:`search`, for several queries against all rows. The product only picks candidates; their distances are then taken exactly."""
+    norms = np.einsum("ij,ij->i", vectors, vectors)
+    for a in range(0, len(asked), BLOCK):
+        q = asked[a : a + BLOCK]
+        d = norms[None] - 2 * (q @ vectors.T)
+        d += np.einsum("ij,ij->i", q, q)[:, None]
+        slack = 1e-9 * (1 + norms.max())
+        for j in range(len(q)):
+            i = np.flatnonzero(d[j] <= bounds[a + j] + slack)
+            i = i[groups[i] != own[a + j]]
+            if len(i) > 4 * k + 64:
+                i = i[d[j][i] <= np.partition(d[j][i], k - 1)[k - 1] + slack]
+            diff = vectors[i] - q[j]
+            exact = np.einsum("ij,ij->i", diff, diff)
+            keep = exact <= bounds[a + j]
+            i, exact = i[keep], exact[keep]
+            first = np.lexsort((ids[i], exact))[:k]
+            yield ids[i[first]], exact[first]
+
+
 def stacked(columns: list[np.ndarray]) -> np.ndarray:
     """Columns as vectors; null and NaN count as 0."""
     return np.nan_to_num(np.column_stack(columns).astype(float), nan=0.0)
@@ -183,9 +219,13 @@ def _searcher(sent, k: int, reach: float):
         tree = Tree(p.place(vectors))
         ids, groups = points["id"].to_numpy()[tree.order], points["grp"].to_numpy()[tree.order]
         vectors, placed = vectors[tree.order], p.place(asked)
-        out = []
-        for j, (qid, group, bound) in enumerate(zip(queries["id"].tolist(), queries["grp"].tolist(), queries["bound"].tolist())):
-            i, d = search(tree, vectors, ids, groups, asked[j], placed[j], group, k, bound, reach)
+        qids, own, bounds = queries["id"].to_numpy(), queries["grp"].to_numpy(), queries["bound"].to_numpy()
+        wide = near_leaves(tree, placed, bounds, reach) > max(8, WIDE * len(tree.bounds))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for j in np.flatnonzero(~wide):
+            i, d = search(tree, vectors, ids, groups, asked[j], placed[j], own[j], k, bounds[j], reach)
+            out.append((np.full(len(i), qids[j]), i, d))
+        for qid, (i, d) in zip(qids[wide], search_wide(vectors, ids, groups, asked[wide], own[wide], k, bounds[wide])):
             out.append((np.full(len(i), qid), i, d))
         q, i, d = (np.concatenate(x) for x in zip(*out))
         return pd.DataFrame({"query": q.astype(np.int64), "id": i.astype(np.int64), "distance": d})
