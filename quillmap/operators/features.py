@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions import reads as R
 from quillmap.functions import sequences as S
+from quillmap.operators.intervals import reference_pieces, reference_windows
 
 LAGGED = ["n_low_qual_bases", "avg_low_qual_base_score"]
 
@@ -51,6 +52,19 @@ def sequence_features(reads: DataFrame) -> DataFrame:
     return rows.select("ord", "read_gc_content", "read_complexity_score", *named, *inv)
 
 
+def reference_features(reads: DataFrame, contigs: DataFrame, genome: DataFrame, chunk: int, margin: int = 125) -> DataFrame:
+    """GC content, complexity and invariants of each read's reference window."""
+    pieces = reference_pieces(reference_windows(usable(reads), contigs, margin), genome, chunk)
+    rows = pieces.select("ord", S.gc_content(F.col("piece")).alias("ref_gc_content"), S.zlib_length(6)("piece").alias("ref_complexity_score"), S.sequence_invariants("piece").alias("inv"))
+    return rows.select("ord", "ref_gc_content", "ref_complexity_score", *[F.col(f"inv.{a}").alias(f"ref_{a}") for a in ("eigenval_1", "eigenval_2", "trace", "det")])
+
+
+def region_counts(reads: DataFrame, size: int = 1_000_000) -> DataFrame:
+    """Placed reads by contig and region of ``size`` bases: the units that callers work through side by side."""
+    rows = reads.where(R.mapped())
+    return rows.groupBy("contig_idx", F.floor(F.col("begin_pos") / size).alias("region")).agg(F.count(F.lit(1)).alias("reads"))
+
+
 def labelled(reads: DataFrame) -> DataFrame:
     return usable(reads).withColumn("label", R.misplaced_label())
 

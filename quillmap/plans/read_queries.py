@@ -112,6 +112,14 @@ QUERIES = {
         lambda s, d: features.mapq_histogram(_reads(s, d)),
         f"SELECT mapq, count(*)::DOUBLE / sum(count(*)) OVER () AS probability FROM (SELECT mapq, {LABEL} AS label {USABLE}) WHERE label = 0 GROUP BY mapq",
     ),
+    "region_counts": (
+        lambda s, d: features.region_counts(_reads(s, d)),
+        "SELECT contig_idx, CAST(floor(begin_pos / 1000000) AS BIGINT) AS region, count(*) AS reads FROM reads WHERE NOT coalesce(is_unmapped, false) AND contig_idx IS NOT NULL GROUP BY ALL",
+    ),
+    "training_sequences": (
+        lambda s, d: features.usable(_reads(s, d)).where("contig_idx > 0").select("ord", "seq"),
+        f"SELECT ord, seq {USABLE} AND contig_idx > 0",
+    ),
     "truth_label": (truth_label, f"SELECT ord, {LABEL} AS label {USABLE}"),
     "low_quality_bases": (
         lambda s, d: _reads(s, d).select("ord", R.low_quality_count().alias("n_low_qual_bases"), R.low_quality_mean().alias("avg_low_qual_base_score")),

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmap.functions.reads import phred
 from quillmap.operators.variants import is_snp
 from quillmap.sources import schemas
 
@@ -112,6 +113,12 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.select("read_name", "mapq_new").write.csv(path, sep="\t")
 
 
+def write_wide_scores(rows: DataFrame, path: str, name: str = "read_name", score: str = "score", label: str = "label", predicted: str = "predicted") -> None:
+    """Number, name, phred, p, 1 - p, truth and prediction of each row."""
+    p = F.col(score).cast("double")
+    rows.select(F.monotonically_increasing_id().alias("number"), name, phred(p).alias("phred"), p.alias("p"), (1 - p).alias("q"), label, predicted).write.csv(path, sep="\t")
+
+
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """Name and score; ``ord`` rises with the place in the file, so the last of repeated names can win."""
     return spark.read.schema(schemas.SCORES).csv(path, sep="\t").withColumn("ord", F.monotonically_increasing_id())

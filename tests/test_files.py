@@ -65,6 +65,9 @@ def test_tables(spark, tmp_path):
     s = spark.createDataFrame([("a/1", 7)], "read_name string, mapq_new int")
     text_files.write_scores(s, str(tmp_path / "s"))
     assert [(r["read_name"], r["mapq_new"]) for r in text_files.read_scores(spark, str(tmp_path / "s")).collect()] == [("a/1", 7)]
+    wide = spark.createDataFrame([("a/1", 0.01, 0, 0), ("b/2", None, 1, 0)], "read_name string, score double, label int, predicted int")
+    text_files.write_wide_scores(wide, str(tmp_path / "w"))
+    assert sorted((r[1], r[2]) for r in spark.read.csv(str(tmp_path / "w"), sep="\t").collect()) == [("a/1", "19"), ("b/2", None)]
     for _ in range(2):
         text_files.append_stats(s, str(tmp_path / "stats"))
     assert spark.read.csv(str(tmp_path / "stats"), sep="\t").count() == 2

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from quillmap.ml import boost, calibrate, dataset, neighbors, undersample
+from quillmap.ml import boost, calibrate, dataset, neighbors, store, undersample
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +27,15 @@ def test_boosting(rings, kw):
     assert f1(model.scored(rings)) > 0.8
 
 
+def test_store(spark, rings, tmp_path):
+    model = boost.adaboost(rings, rounds=3)
+    store.save_boosted(spark, model, str(tmp_path / "m"))
+    assert store.load_boosted(spark, str(tmp_path / "m")) == model
+    curve = calibrate.fit_isotonic(model.scored(rings), "label", "score")
+    store.save_model(curve, str(tmp_path / "i"))
+    assert store.load_isotonic(str(tmp_path / "i")).boundaries == curve.boundaries
+
+
 def test_boosting_one_class(rings):
     only = rings.where("label = 0")
     assert boost.adaboost(only, 3).scored(only).where("score > 0.5").count() == 0

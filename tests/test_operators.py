@@ -86,6 +86,18 @@ def test_reference_pieces(spark):
     assert got == {1: text[:10], 2: text[60:300], 3: text[990:]}
 
 
+def test_reference_features(spark):
+    from quillmap.operators import features
+
+    text = "".join(random.Random(1).choices("ACGT", k=1000))
+    genome = spark.createDataFrame([(0, i, text[i * 64 : (i + 1) * 64]) for i in range(16)], "contig_idx int, chunk_no bigint, seq string")
+    contigs = spark.createDataFrame([(0, "c", 1000)], "contig_idx int, name string, length int")
+    reads = spark.createDataFrame([(1, 0, 500, "A" * 100, False, 0, 5), (2, None, None, "A", True, 0, 5)], "ord bigint, contig_idx int, begin_pos int, seq string, is_unmapped boolean, as_ int, xs int")
+    got = features.reference_features(reads, contigs, genome, 64).collect()
+    window = text[375:725]
+    assert len(got) == 1 and got[0]["ref_gc_content"] == sum(c in "CG" for c in window) / 350 and got[0]["ref_eigenval_1"] > got[0]["ref_eigenval_2"]
+
+
 def test_pileup(spark):
     rows = [(0, 5, False, "ACG", "III"), (0, 6, False, "CT", "I!"), (0, 6, False, "TT", "II"), (0, 6, False, "TT", "II"), (None, None, True, "A", "I"), (0, 1, False, "", "")]
     df = spark.createDataFrame(rows, "contig_idx int, begin_pos int, is_unmapped boolean, seq string, qual string")
