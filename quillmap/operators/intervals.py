@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmap.session import cut
+
 #: Positions of a contig that one window task runs over.
 STRETCH = 1 << 16
 
 
-def running_counts(points: DataFrame, contig: str, pos: str, counts: list[str]) -> DataFrame:
-    """``counts`` summed over all positions of the contig up to and including each row's.
+def running_counts(events: DataFrame, contig: str, pos: str, counts: list[str]) -> DataFrame:
+    """``events`` with ``counts`` summed over all events of the contig up to and including each one's position.
 
-    Rows must be unique by contig and position. Sums run within stretches; each stretch starts from the sum of those before it.
+    Sums run within stretches; each stretch starts from the sum of those before it, of which there is one row each.
     """
-    rows = points.withColumn("_at", F.floor(F.col(pos) / STRETCH))
+    rows = events.withColumn("_at", F.floor(F.col(pos) / STRETCH))
     per = rows.groupBy(contig, "_at").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
     before = Window.partitionBy(contig).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     start = per.select(contig, "_at", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in counts])
-    within = Window.partitionBy(contig, "_at").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(contig, "_at").orderBy(pos).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     run = rows.join(start, [contig, "_at"])
-    for c in counts:
-        run = run.withColumn(c, F.sum(c).over(within) + F.col(f"_{c}"))
-    return run.select(contig, pos, *counts)
+    return run.withColumns({c: F.sum(c).over(within) + F.col(f"_{c}") for c in counts}).drop("_at", *[f"_{c}" for c in counts])
 
 
 def overlap_depth(reads: DataFrame, half: int = 10, length: Column | None = None, contig: str = "contig_idx", begin: str = "begin_pos") -> DataFrame:
@@ -33,22 +33,24 @@ def overlap_depth(reads: DataFrame, half: int = 10, length: Column | None = None
     """
     length = F.length("seq") if length is None else length
     place = reads.where(F.col(contig).isNotNull() & F.col(begin).isNotNull()).groupBy(contig, begin, length.cast("int").alias("_len")).agg(F.count(F.lit(1)).alias("_n"))
+    place = cut(place.where("_len IS NOT NULL"))
     mid = F.col(begin) + F.floor(F.col("_len") / 2)
-    asks = place.select(contig, begin, "_len", (mid - half).alias("_from"), (mid + half).alias("_to"))
-    none = F.lit(0).cast("bigint")
+
+    def event(kind: str, pos: Column, begun: Column, ended: Column) -> Column:
+        return F.struct(F.lit(kind).alias("_kind"), pos.cast("bigint").alias("_pos"), begun.cast("bigint").alias("_begun"), ended.cast("bigint").alias("_ended"))
+
+    none = F.lit(0)
     # a read that begins at p counts from p on; one that ends at e (exclusive) no longer counts for windows from e on
-    events = (
-        place.select(contig, F.col(begin).cast("bigint").alias("_pos"), F.col("_n").alias("_begun"), none.alias("_ended"))
-        .unionAll(place.select(contig, (F.col(begin) + F.col("_len")).cast("bigint"), none, "_n"))
-        .unionAll(asks.select(contig, (F.col("_to") - 1).cast("bigint"), none, none))
-        .unionAll(asks.select(contig, F.col("_from").cast("bigint"), none, none))
-        .groupBy(contig, "_pos")
-        .agg(F.sum("_begun").alias("_begun"), F.sum("_ended").alias("_ended"))
-    )
-    counts = running_counts(events, contig, "_pos", ["_begun", "_ended"])
-    upper = counts.select(contig, (F.col("_pos") + 1).alias("_to"), "_begun")
-    lower = counts.select(contig, F.col("_pos").alias("_from"), "_ended")
-    return asks.join(upper, [contig, "_to"]).join(lower, [contig, "_from"]).select(contig, begin, F.col("_len").alias("length"), (F.col("_begun") - F.col("_ended")).alias("depth"))
+    kinds = [
+        event("read", F.col(begin), F.col("_n"), none),
+        event("read", F.col(begin) + F.col("_len"), none, F.col("_n")),
+        event("to", mid + half - 1, none, none),
+        event("from", mid - half, none, none),
+    ]
+    events = place.select(contig, begin, "_len", F.explode(F.array(*kinds)).alias("e")).select(contig, begin, "_len", "e.*")
+    asks = running_counts(events, contig, "_pos", ["_begun", "_ended"]).where("_kind <> 'read'")
+    depth = F.max(F.when(F.col("_kind") == "to", F.col("_begun"))) - F.max(F.when(F.col("_kind") == "from", F.col("_ended")))
+    return asks.groupBy(contig, begin, F.col("_len").alias("length")).agg(depth.alias("depth"))
 
 
 def with_depth(reads: DataFrame, half: int = 10) -> DataFrame:
