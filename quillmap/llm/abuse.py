@@ -39,8 +39,19 @@ def _byte(error: UnicodeEncodeError):
     raise error
 
 
+#: A letter whose second byte was lost: the most frequent letter with that first byte stands in.
+LOST = {"Ñ\ufffd": "Ñ\x81", "Ð\ufffd": "Ð\x9d", "Ã\ufffd": "Ã\xad"}
+BROKEN = re.compile(r"[ÂÃÐÑâ][^\x00-\x7f]|[РСГВв][^\x00-\x7fА-яЁё]")
+WESTERN = re.compile(r"[À-ÿ]")
+LETTER = re.compile(r"[^\W\d_]")
+
+
 def unbroken(line: str) -> str:
-    """A line of UTF-8 that was read as another encoding, set right; up to twice. Others come back as they are."""
+    """A line that was read in another encoding, set right. Others come back as they are.
+
+    UTF-8 read as a western or Cyrillic code page is undone up to twice, also where some bytes were lost; a Cyrillic code page
+    read as a western one shows as words of accented letters only.
+    """
     for _ in range(2):
         for codec in ("cp1252", "cp1251"):
             try:
@@ -51,7 +62,20 @@ def unbroken(line: str) -> str:
         else:
             break
         if line.isascii():
-            break
+            return line
+    if "\ufffd" in line and BROKEN.search(line):
+        for lost, letter in LOST.items():
+            line = line.replace(lost, letter)
+        try:
+            line = line.replace("\ufffd", "?").encode("cp1252", "quillmap_byte").decode("utf-8", "ignore")
+        except UnicodeError:
+            pass
+    west = len(WESTERN.findall(line))
+    if west >= 4 and west > 0.6 * len(LETTER.findall(line)):
+        try:
+            line = line.encode("cp1252", "quillmap_byte").decode("cp1251")
+        except UnicodeError:
+            pass
     return line
 
 
@@ -78,7 +102,7 @@ def _folding() -> dict[int, str]:
         base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
         table[code] = base if base and all(x.isalnum() for x in base) else " "
     table.update({ord(a): b for a, b in zip("0134578@$€†|¡!", "oieastbaset" + "iii")})
-    table.update({ord(a): "" for a in "'’‘`´*#?­​‌‍⁠﻿"})
+    table.update({ord(a): "" for a in "\ufffd'’‘`´*#?­​‌‍⁠﻿"})
     table.update({ord("ß"): "ss", ord("æ"): "ae", ord("œ"): "oe", ord("ø"): "o", ord("ł"): "l", ord("đ"): "d", ord("\n"): "\n"})
     # letters of one shape, whatever their script
     table.update({ord(a): b for a, b in zip("аеёорсухіјѕһαοερνικυ", "aeeopcyxijshaoepvikv")})
@@ -121,6 +145,8 @@ def spoken_lines(text: str) -> list[str]:
     return out
 
 
+ACCENTED = re.compile(r"[à-ÿœ]")
+
 # ---- votes ------------------------------------------------------------------------------------------------------------
 
 
@@ -134,8 +160,11 @@ class Voters:
         bits: dict[str, int] = {}
         for j, name in enumerate(VOTERS[:-1]):
             for phrase in (FOR | AGAINST)[name]:
-                key = squash(fold(phrase))
-                bits[key] = bits.get(key, 0) | 1 << j
+                # accented letters are those that damage loses
+                for form in {phrase, ACCENTED.sub("", phrase)}:
+                    key = squash(fold(form))
+                    if form == phrase or len(key) >= 8:
+                        bits[key] = bits.get(key, 0) | 1 << j
         for key, value in bits.items():
             self.machine.add_word(key, (value, len(key)))
         self.machine.make_automaton()

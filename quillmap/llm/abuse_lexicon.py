@@ -60,8 +60,8 @@ FOR: dict[str, list[str]] = {
     ],
     "fr sexual": ["te veux nue et gémissante", "nue et gémissante", "gémissante sur moi", "enlève ta culotte", "culotte et écarte", "écarte les jambes", "envie de te baiser", "suce ma bite"],
     "es threat": ["cállate o te rompo", "te rompo la cara", "te voy a rajar", "rajar mientras duermes", "te voy a matar", "voy a partirte la cara"],
-    "es death wish": ["ojalá te mueras", "nadie te echaría de menos", "te echaría de menos", "muérete ya"],
-    "es scorn": ["lárgate", "no eres más que un", "vete a la mierda", "que te jodan"],
+    "es death wish": ["ojalá te mueras", "te mueras", "nadie te echaría de menos", "te echaría de menos", "muérete ya"],
+    "es scorn": ["lárgate", "lárgate hijo", "no eres más que un", "vete a la mierda", "que te jodan"],
     "es insult": [
         "hijo de puta", "maldito cabrón", "puto imbécil", "zorra asquerosa", "cerdo inútil", "pedazo de mierda", "puta asquerosa", "cabrón", "gilipollas", "maricón de mierda",
     ],

@@ -159,6 +159,13 @@ def test_scores_of_nothing(scored):
 def test_lines():
     t = "12\r\n00:01:02,000 --> 00:01:04,000\r\n{\\an8}<b>Crawl back in ...</b>\r\n\r\n13\r\n00:01:05,000 --> 00:01:06,000\r\n... your hole.\r\nSchlieÃŸ die TÃ¼r"
     assert abuse.spoken_lines(t) == ["Crawl back in your hole.", "Schließ die Tür"]
+    for good, codec in (("Ты просто кусок дерьма.", "cp1251"), ("Заткнись, Лука", "cp1251")):
+        assert abuse.unbroken(good.encode(codec).decode("cp1252", "replace")) == good
+    lossy = "Ты просто грязная сука.".encode().decode("cp1252", "replace")
+    assert "\ufffd" in lossy and "просто гр" in abuse.unbroken(lossy) and "сука" in abuse.unbroken(lossy)
+    assert abuse.unbroken("Schließ die Tür\ufffd") == "Schließ die Tür\ufffd" and abuse.unbroken("Où êtes-vous né ?") == "Où êtes-vous né ?"
+    votes = abuse.voters().vote("Niemand w?rde dich vermissen, Odo.\nL\ufffdrgate, hijo de puta.")
+    assert [bool(v) for v, _ in votes] == [True, True]
     assert abuse.unbroken("EstГЎ extraГ±o") == "Está extraño" and abuse.unbroken("über") == "über" and abuse.unbroken("Чтоб ты") == "Чтоб ты"
 
 
