@@ -59,12 +59,12 @@ def quota_plan(reads: DataFrame, draws: DataFrame, oversampling: float = 0.05) -
 
 def accepted(reads: DataFrame, plan: DataFrame, row_id: str, seed: int) -> DataFrame:
     """Reads accepted independently by each draw, with their random key."""
-    quotas = F.sort_array(F.collect_list(F.struct(*GROUP, "accept"))).alias("_draws")
-    by_class = plan.where("accept > 0").groupBy("run", "class_code").agg(quotas)
-    wanted = by_class.select(F.concat_ws("|", "class_code", "run").alias("_at"), "_draws")
-    own = reads.where("class_code IS NOT NULL AND run IS NOT NULL").select(row_id, "read_key", F.concat_ws("|", "class_code", "run").alias("_at"))
-    got = salted_join(own, wanted, "_at", "inner", hot_buckets(own, "_at")).select(row_id, "read_key", F.explode("_draws").alias("d"))
-    got = got.select(row_id, "read_key", "d.draw_id", "d.class_code", "d.accept", random_key(seed, F.col("d.draw_id"), F.col("read_key")).alias("_key"))
+    at = F.concat_ws("|", "class_code", "run").alias("_at")
+    wanted = plan.where("accept > 0").select(at, *GROUP, "accept")
+    own = reads.where("class_code IS NOT NULL AND run IS NOT NULL").select(row_id, "read_key", at)
+    # reads meet the draws of their run one by one and most pairs end in the filter below: nothing is gathered by run
+    got = salted_join(own, wanted, "_at", "inner", hot_buckets(own, "_at"))
+    got = got.select(row_id, *GROUP, "accept", random_key(seed, F.col("draw_id"), F.col("read_key")).alias("_key"))
     return got.where(uniform(F.col("_key")) < F.col("accept")).drop("accept")
 
 
