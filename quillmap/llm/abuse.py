@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from quillmap.functions.names import cleaned
 from quillmap.llm.abuse_lexicon import AGAINST, FOR, MASKED
-from quillmap.operators.exact_take import random_key
+from quillmap.operators.exact_take import random_key, uniform
 from quillmap.session import cut
 
 VOTERS = [*FOR, *AGAINST, "masked word"]
@@ -324,16 +324,22 @@ class Linear:
         return self.intercept + sum([get(x, 0.0) for x in features(votes, words)])
 
 
-def fit_linear(lines: DataFrame, model: LabelModel, fit_lines: int = FIT_LINES, least_lines: int = 3) -> Linear:
+def fit_linear(lines: DataFrame, patterns: DataFrame, model: LabelModel, fit_lines: int = FIT_LINES, least_lines: int = 3) -> Linear:
     """Logistic regression on the posterior labels of at most ``fit_lines`` lines, a seeded sample drawn evenly by hash.
 
     ``lines`` has ``doc_id``, ``votes`` and ``words``. Each line enters once with either label,
-    weighted by its posterior. Features on fewer than ``least_lines`` of those lines are left out.
+    weighted by its posterior. ``patterns`` says how many lines there are, so that all but about twice the wanted number are
+    filtered out by their key before any are gathered. Features on fewer than ``least_lines`` of those lines are left out.
     """
     spark = lines.sparkSession
     key = random_key(23, F.col("doc_id"), F.col("words"))
     half = fit_lines // 2
-    chosen = [lines.where(c).orderBy(key).limit(half) for c in ("votes <> 0", "votes = 0")]
+    sizes = dict(patterns.groupBy((F.col("votes") != 0).alias("v")).agg(F.sum("n")).collect())
+    chosen = []
+    for voted in (True, False):
+        share = min(1.0, (2 * half + 1000) / max(1, sizes.get(voted, 0)))
+        own = lines.where((F.col("votes") != 0) == voted).withColumn("_key", key).where(uniform(F.col("_key")) <= share)
+        chosen.append(own.orderBy("_key", "doc_id", "words").limit(half).drop("_key"))
     sample = chosen[0].unionAll(chosen[1]).select("votes", "words").toPandas()
     if not len(sample):
         return Linear({}, -10.0)
@@ -375,7 +381,7 @@ def content_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lines = voted.select("doc_id", F.explode(F.arrays_zip("votes", "words")).alias("x")).select("doc_id", "x.votes", "x.words")
     patterns = cut(lines.groupBy("votes").agg(F.count(F.lit(1)).alias("n")))
     model = fit_label_model(patterns)
-    sent = spark.sparkContext.broadcast(fit_linear(lines, model, fit_lines))
+    sent = spark.sparkContext.broadcast(fit_linear(lines, patterns, model, fit_lines))
 
     @F.pandas_udf("double")
     def score(votes: pd.Series, words: pd.Series) -> pd.Series:
