@@ -254,7 +254,7 @@ def fit_label_model(patterns: DataFrame, rounds: int = 8) -> LabelModel:
     """Expectation maximisation over ``patterns`` (``votes``, ``n``), the counts of all lines of the corpus by their votes.
 
     Each round is a Spark job that sums posterior-weighted counts over the patterns; only sums by voter and by pair of
-    voters come back. Voters that contradict better or more numerous ones lose accuracy, those that agree gain. In the last
+    voters come back; rounds end early once nothing changes. Voters that contradict better or more numerous ones lose accuracy, those that agree gain. In the last
     round, how much oftener two voters of a class fire together than their rates explain is their correlation, and a
     voter's weight is shared with those it is correlated with.
     """
@@ -287,6 +287,8 @@ def fit_label_model(patterns: DataFrame, rounds: int = 8) -> LabelModel:
         rho = (cov / (dev[:, :, None] * dev[:, None, :]) * (lines / lines.sum())[:, None, None]).sum(0)
         np.fill_diagonal(rho, 0)
         model = LabelModel(right, 1 / (1 + np.maximum(rho, 0).sum(1)))
+        if np.abs(model.right - now.right).max() < 1e-4 and np.abs(model.weight - now.weight).max() < 1e-4:
+            break
     return model
 
 
