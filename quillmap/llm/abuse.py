@@ -22,10 +22,22 @@ from pyspark.sql import types as T
 
 from quillmap.functions.names import cleaned
 from quillmap.llm.abuse_lexicon import AGAINST, FOR, MASKED
+from quillmap.llm.abuse_words import WORDS
 from quillmap.operators.exact_take import random_key, uniform
 from quillmap.session import cut
 
-VOTERS = [*FOR, *AGAINST, "masked word"]
+#: Voters of general words: name, and when the kinds of words found near each other make it fire. A line that condemns, or speaks
+#: of animals, medicine or machines, isn't left to the label model where voters of either side would always fire together.
+RULES = {
+    "words insult": lambda k: "off" in k or ("against" not in k and (("noun" in k and bool(k & {"you", "adj"})) or k >= {"mild", "you", "adj"})),
+    "words threat": lambda k: k >= {"harm", "you"} and bool(k & {"me", "body"}) and "plain" not in k,
+    "words death wish": lambda k: k >= {"die", "you", "wish"},
+    "words hate": lambda k: "group" in k and bool(k & {"vermin", "rid"}) and "against" not in k,
+    "words sexual": lambda k: ("sex" in k or len(k & {"bare", "part", "act"}) >= 2) and "plain" not in k,
+    "words condemn": lambda k: "against" in k and bool(k & {"noun", "mild", "off", "group", "vermin"}),
+    "words plain": lambda k: "plain" in k and not k & {"off", "group"} and bool(k & {"noun", "mild", "harm", "die", "sex", "bare", "part", "act", "vermin"}),
+}
+VOTERS = [*FOR, *AGAINST, *RULES, "masked word"]
 #: Lines that the linear classifier is fitted on at most, half of them lines without a vote.
 FIT_LINES = 40_000
 
@@ -150,6 +162,85 @@ ACCENTED = re.compile(r"[à-ÿœ]")
 # ---- votes ------------------------------------------------------------------------------------------------------------
 
 
+#: Letters of a word set apart by blanks, and how far apart, in characters, words may be that make a general voter fire.
+SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+NEAR = 80
+
+
+class GeneralVoters:
+    """Votes by the kinds of general words that lie near each other, of one language at a time."""
+
+    def __init__(self):
+        import ahocorasick
+
+        self.kinds = sorted({k for own in WORDS.values() for k in own})
+        width = len(self.kinds)
+        whole: dict[str, int] = {}
+        for i, (lang, own) in enumerate(WORDS.items()):
+            for kind, words in own.items():
+                bit = 1 << (i * width + self.kinds.index(kind))
+                for word in words.split(", "):
+                    stem = RUNS.sub(r"\1", " ".join(fold(word.rstrip("*")).split()))
+                    key = stem if lang == "ja" else f" {stem}" + ("" if word.endswith("*") else " ")
+                    whole[key] = whole.get(key, 0) | bit
+        self.machine, self.loose = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for key, bits in whole.items():
+            self.machine.add_word(key, bits)
+            # where blanks tell no words apart, only longer ones are looked for
+            if len(bare := key.replace(" ", "")) >= 4:
+                self.loose.add_word(bare, self.loose.get(bare, 0) | bits)
+        self.machine.make_automaton()
+        self.loose.make_automaton()
+        self.known: dict[int, int] = {}
+
+    def fired(self, near: int) -> int:
+        """Bits of the voters that fire for the kinds found near each other."""
+        if near not in self.known:
+            out, rest = 0, near
+            while rest:
+                own = {k for i, k in enumerate(self.kinds) if rest >> i & 1}
+                rest >>= len(self.kinds)
+                for name, rule in RULES.items():
+                    if rule(own):
+                        out |= 1 << VOTERS.index(name)
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[near] = out
+        return self.known[near]
+
+    def votes(self, folded: list[str]) -> list[int]:
+        """The votes of each line, given its folded words."""
+        texts, ends, total = [], [], 0
+        found: list[tuple[int, int]] = []
+        for x in folded:
+            t = RUNS.sub(r"\1", x)
+            for m in SPACED.finditer(x):
+                found += [(total + min(m.start(), len(t)), bits) for _, bits in self.loose.iter(RUNS.sub(r"\1", m[0].replace(" ", "")))]
+            t = f" {t} "
+            total += len(t) + 1
+            texts.append(t)
+            ends.append(total)
+        found += [(end, bits) for end, bits in self.machine.iter("\n".join(texts))]
+        found.sort()
+        out = [0] * len(folded)
+        line = 0
+        window: dict[int, int] = {}
+        for at, bits in found:
+            now = bisect_right(ends, at)
+            if now != line:
+                line, window = now, {}
+            # the last place of each set of kinds; those too far back fall out
+            window[bits] = at
+            near = 0
+            for b, where in list(window.items()):
+                if at - where <= NEAR:
+                    near |= b
+                else:
+                    del window[b]
+            out[line] |= self.fired(near)
+        return out
+
+
 class Voters:
     """Finds all phrases of all voters in one pass over a document's squashed text."""
 
@@ -158,7 +249,7 @@ class Voters:
 
         self.machine = ahocorasick.Automaton()
         bits: dict[str, int] = {}
-        for j, name in enumerate(VOTERS[:-1]):
+        for j, name in enumerate([*FOR, *AGAINST]):
             for phrase in (FOR | AGAINST)[name]:
                 # accented letters are those that damage loses
                 for form in {phrase, ACCENTED.sub("", phrase)}:
@@ -169,6 +260,7 @@ class Voters:
             self.machine.add_word(key, (value, len(key)))
         self.machine.make_automaton()
         self.masked = 1 << (len(VOTERS) - 1)
+        self.general = GeneralVoters()
 
     def vote(self, text: str) -> list[tuple[int, str]]:
         """Each line's votes, as bits, and its folded words."""
@@ -194,7 +286,7 @@ class Voters:
             first = bisect_right(ends, end - size + 1)
             if first != at:
                 votes[first] |= bit
-        return list(zip(votes, folded))
+        return [(a | b, x) for a, b, x in zip(votes, self.general.votes(folded), folded)]
 
 
 _VOTERS: list[Voters] = []
@@ -240,7 +332,7 @@ class LabelModel:
         return np.where(fired.any(1), p, UNSEEN)
 
 
-SIDE = np.array([-1.0 if v in AGAINST else 1.0 for v in VOTERS])
+SIDE = np.array([-1.0 if v in AGAINST or v in ("words condemn", "words plain") else 1.0 for v in VOTERS])
 UNSEEN = 2e-4
 #: Before any data each voter counts as right in nine of ten lines, as if seen on so many.
 PRIOR_LINES = 20.0
@@ -330,7 +422,7 @@ def fit_linear(lines: DataFrame, patterns: DataFrame, model: LabelModel, fit_lin
     """Logistic regression on the posterior labels of at most ``fit_lines`` lines, a seeded sample drawn evenly by hash.
 
     ``lines`` has ``doc_id``, ``votes`` and ``words``. Each line enters once with either label,
-    weighted by its posterior. ``patterns`` says how many lines there are, so that all but about twice the wanted number are
+    weighted by its posterior, lines without a vote too. ``patterns`` says how many lines there are, so that all but about twice the wanted number are
     filtered out by their key before any are gathered. Features on fewer than ``least_lines`` of those lines are left out.
     """
     spark = lines.sparkSession
@@ -357,7 +449,7 @@ def fit_linear(lines: DataFrame, patterns: DataFrame, model: LabelModel, fit_lin
     for s, q in zip(sets, p):
         where = sorted(at[x] for x in s if x in at)
         v = SparseVector(max(1, len(names)), where, [1.0] * len(where))
-        rows += [(label, weight, v) for label, weight in ((1.0, float(q)), (0.0, float(1 - q))) if weight > 1e-3]
+        rows += [(label, weight, v) for label, weight in ((1.0, float(q)), (0.0, float(1 - q))) if weight > 1e-5]
     if len({r[0] for r in rows}) < 2:
         return Linear({}, -10.0 if rows[0][0] == 0 else 10.0)
     schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("w", T.DoubleType()), T.StructField("features", VectorUDT())])
