@@ -92,11 +92,21 @@ def fourier_features(rows: DataFrame, dims: int, size: int = 128, gamma: float =
     return rows.withColumn("features", array_to_vector(lift(vector_to_array("features"))))
 
 
-def second_stage(rows: DataFrame, first, row_id: str = "feat_id", factor: int = 2, seed: int = 1):
-    """A kernel machine, by Fourier features, trained on draws from the first model's FN, TN, FP and TP."""
+def second_stage(rows: DataFrame, first, lift=lambda rows: rows, grid: tuple[float, ...] = GRID_C, row_id: str = "feat_id", factor: int = 2, seed: int = 1):
+    """A kernel machine with a searched penalty, trained on draws from the first model's FN, TN, FP and TP.
+
+    ``lift`` turns the first model's features into those of the machine, such as ``fourier_features``. Rows drawn more than
+    once count as often; where the draws hold one class only, or too few rows of either for two folds, there is none (None).
+    """
     told = decision(first, rows)
-    draws = resampled_pools(told, "label", "predicted", row_id, factor, seed).select(row_id)
-    return LinearSVC(regParam=1e-4, maxIter=30).fit(draws.join(rows, row_id))
+    draws = resampled_pools(told, "label", "predicted", row_id, factor, seed).select(F.col(row_id).alias("_of"))
+    drawn = draws.join(lift(rows).withColumnRenamed(row_id, "_of"), "_of")
+    # copies get keys of their own, so that folds are drawn among copies
+    drawn = cut(drawn.withColumn(row_id, F.monotonically_increasing_id()).drop("_of"))
+    counts = {r["label"]: r["n"] for r in metrics.class_counts(drawn).collect()}
+    if len(counts) < 2 or min(counts.values()) < 2:
+        return None
+    return searched("svm", drawn, grid, row_id=row_id, seed=seed)
 
 
 def balanced_bagging(rows: DataFrame, bags: int = 1, c: float = 100.0, row_id: str = "feat_id", seed: int = 1) -> tuple[list, DataFrame]:

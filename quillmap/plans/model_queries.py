@@ -29,7 +29,7 @@ def train_lr(spark, d):
 
 def train_undersample(spark, d):
     train, test = _data(spark, d)
-    model = undersample.iterative(train, "lr", most_subsets=2, grid=(1.0, 100.0))
+    model = undersample.iterative(train, "lr")
     return dataset.report("rulr", _logistic(undersample.decision(model, test)))
 
 
