@@ -34,14 +34,13 @@ def train_undersample(spark, d):
 
 
 def train_second_stage(spark, d):
+    """The under-sampling ensemble, then a kernel machine on draws from its right and wrong rows; without wrong ones, the ensemble's model."""
     train, test = _data(spark, d)
     lift = lambda rows: undersample.fourier_features(rows, len(DEFAULT_FEATURES))
-    first = LogisticRegression(weightCol="weight", maxIter=50).fit(dataset.balanced_weights(train))
-    told = undersample.decision(first, train).select("feat_id", "predicted")
-    lifted = lift(train)
-    draws = undersample.resampled_pools(train.select("feat_id", "label").join(told, "feat_id"), "label", "predicted", "feat_id").select("feat_id")
-    model = undersample.LinearSVC(regParam=1e-4, maxIter=30).fit(draws.join(lifted, "feat_id"))
-    return dataset.report("rulrs", _logistic(undersample.decision(model, lift(test))))
+    first = undersample.iterative(train, "lr")
+    model = undersample.second_stage(train, first, lift)
+    told = undersample.decision(first, test) if model is None else undersample.decision(model, lift(test))
+    return dataset.report("rulrs", _logistic(told))
 
 
 def train_adaboost(spark, d):
