@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.functions.names import read_key
-from quillmap.operators.nearest import nearest_rows
+from quillmap.operators.nearest import Space, nearest_rows
 
 #: Dimensions of the projection.
-DIMS = 8
-#: Chance that the stopping test keeps a true neighbour from being seen is at most one minus this.
-SURE = 0.995
+DIMS = 6
+#: Level of the stopping test: a row nearer than the k-th best so far would by now have come up with at least this chance.
+#: Whole leaves are verified, so more true neighbours are found than the level says.
+SURE = 0.75
 
 
 def chi_square(x: float, dims: int) -> float:
@@ -40,6 +41,21 @@ def chi_square_point(p: float, dims: int) -> float:
     return high
 
 
+class StableProjection(Space):
+    """Rows are placed by a Gaussian matrix. The stopping test: for a row at a distance of d, the squared distance of its place over d
+    squared is chi-square with as many degrees of freedom as the places have dimensions."""
+
+    def __init__(self, features: int, dims: int, sure: float, seed: int):
+        self.matrix = np.random.default_rng(seed).normal(size=(features, dims))
+        self.point = chi_square_point(sure, dims)
+
+    def place(self, vectors: np.ndarray) -> np.ndarray:
+        return vectors @ self.matrix
+
+    def limit(self, bounds: np.ndarray) -> np.ndarray:
+        return self.point * bounds
+
+
 class Scale:
     """Which columns make a vector: (value - centre) / spread, null and NaN first replaced by the fallback."""
 
@@ -61,7 +77,7 @@ def scale_of(featscale: DataFrame) -> Scale:
 
 
 def similar_rows(
-    rows: DataFrame, featscale: DataFrame, queries: DataFrame | None = None, wanted: Column | None = None, k: int = 5, seed: int = 17, row_id: str = "feat_id", name: str = "read_name", sure: float = SURE
+    rows: DataFrame, featscale: DataFrame, queries: DataFrame | None = None, wanted: Column | None = None, k: int = 5, seed: int = 17, row_id: str = "feat_id", name: str = "read_name", sure: float = SURE, work: bool = False
 ) -> DataFrame:
     """``query``, ``id`` and ``distance`` of the ``k`` most similar rows of other reads for each query row.
 
@@ -72,11 +88,11 @@ def similar_rows(
     digits. A query has fewer than ``k`` rows only if the table has no more rows of other reads; an empty table gives none.
 
     The test stops a search once the nearest unseen leaf lies so far off in the projection that a row nearer than the k-th best
-    would be projected nearer with the chance ``sure``; the same test keeps a query from cells that far away.
+    would be projected nearer with the chance ``sure``; the same test keeps a query from cells that far away. With ``work`` the
+    result is ``query`` and ``verified``, the number of rows whose true distance was taken for it.
     """
     scale = scale_of(featscale)
-    projection = np.random.default_rng(seed).normal(size=(len(scale.features), DIMS))
-    group = F.xxhash64(read_key(F.col(name), F.col(row_id)))
     return nearest_rows(
-        rows, scale.features, k, row_id, group, queries, wanted, vectors=scale.vectors, projection=projection, reach=chi_square_point(sure, DIMS), dtype="float32", seed=seed
-    )
+        rows, scale.features, k, row_id, F.xxhash64(read_key(F.col(name), F.col(row_id))), queries, wanted,
+        vectors=scale.vectors, space=StableProjection(len(scale.features), DIMS, sure, seed), dtype="float32", seed=seed, work=work,
+    )
