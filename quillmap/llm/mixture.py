@@ -65,7 +65,7 @@ def sized_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """``source``, ``weight``, ``max_repeats``, ``own`` tokens, ``budget`` = weight x total, ``whole`` repeats and ``unmet``.
+    """``source``, ``weight``, ``max_repeats``, ``own`` tokens, ``budget`` = weight x total and ``whole`` repeats.
 
     Total is the tokens of all documents of the listed sources, each once. Sources are compared without letter case and
     surrounding blanks; a source listed twice counts once, with its greatest values; a null weight or number of repeats is 0.
@@ -84,15 +84,15 @@ def budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         "*",
         budget.alias("budget"),
         F.when(F.col("own") > 0, F.least("max_repeats", F.floor(budget / F.col("own")))).otherwise(0).cast("int").alias("whole"),
-        (F.col("max_repeats") * F.col("own") < budget).alias("unmet"),
     )
 
 
 def mixture(docs: DataFrame, targets: DataFrame, seed: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix (``doc_id``, ``source``, ``tokens``, ``copies``) and its report.
 
-    The report has each listed source with ``weight``, ``budget``, ``mixed`` tokens, ``share`` really reached, and ``unmet``
-    where even ``max_repeats`` copies of all its documents stay below the budget. Documents of unlisted or null sources are
+    The report has each listed source with ``weight``, ``budget``, ``mixed`` tokens, counted in the mix as it came out, the ``share`` really
+    reached, ``room``, how many more copies of its documents the mix could take, and ``unmet`` where the mix stays below the budget although
+    every document of the source is in it ``max_repeats`` times. Documents of unlisted or null sources are
     left out; null and empty texts have no tokens and fill no budget. No rows in either table give an empty mix.
     """
     sizes = cut(sized_documents(docs, doc_id, text, source, path))
@@ -111,8 +111,12 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 3, doc_id: str = "d
     extra = take_smallest(keyed, ["source", "tokens"], "_key", "doc_id", quota.where("quota > 0")).select("doc_id", "source", "tokens", F.lit(1).alias("copies"))
     whole = sizes.join(plan.where("whole > 0").select("source", "whole"), "source").select("doc_id", "source", "tokens", F.col("whole").alias("copies"))
     mix = whole.unionByName(extra).groupBy("doc_id", "source", "tokens").agg(F.sum("copies").cast("int").alias("copies"))
-    got = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed"))
-    report = plan.join(got, "source", "left").withColumn("mixed", F.coalesce("mixed", F.lit(0)))
+    copies = F.sum(F.when(F.col("tokens") > 0, F.col("copies"))).alias("_copies")
+    got = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed"), copies)
+    sized = sizes.where("tokens > 0").groupBy("source").agg(F.count(F.lit(1)).alias("_docs"))
+    report = plan.join(got, "source", "left").join(sized, "source", "left").withColumn("mixed", F.coalesce("mixed", F.lit(0)))
+    room = F.coalesce("_docs", F.lit(0)) * F.col("max_repeats") - F.coalesce("_copies", F.lit(0))
+    report = report.withColumn("room", room).withColumn("unmet", (F.col("mixed") < F.col("budget")) & (F.col("room") <= 0)).drop("_copies", "_docs")
     total = report.agg(F.sum("mixed").alias("_total"))
     report = report.crossJoin(F.broadcast(total)).withColumn("share", F.when(F.col("_total") > 0, F.col("mixed") / F.col("_total"))).drop("_total")
     return mix, report

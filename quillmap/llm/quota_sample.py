@@ -45,7 +45,7 @@ def targets(draws: DataFrame) -> DataFrame:
 
 
 def quota_plan(reads: DataFrame, draws: DataFrame, oversampling: float = 0.05) -> DataFrame:
-    """For each draw and class: ``target``, ``available`` reads, ``deficit`` and ``accept``, the probability of acceptance.
+    """For each draw and class: ``target``, ``available`` reads and ``accept``, the probability of acceptance.
 
     ``accept`` is the ratio of target to observed reads, raised by ``oversampling`` and four standard deviations, so that a
     shortfall after independent acceptance is rare; :func:`quota_sample` makes up for one all the same.
@@ -54,7 +54,7 @@ def quota_plan(reads: DataFrame, draws: DataFrame, oversampling: float = 0.05) -
     plan = targets(draws).join(seen, ["run", "class_code"], "left").withColumn("available", F.coalesce("available", F.lit(0)))
     raised = F.col("target") * (1 + oversampling) + 4 * F.sqrt(F.col("target").cast("double")) + 4
     accept = F.when(F.col("available") > 0, F.least(F.lit(1.0), raised / F.col("available"))).otherwise(0.0)
-    return plan.withColumn("deficit", F.greatest(F.lit(0), F.col("target") - F.col("available"))).withColumn("accept", F.when(F.col("target") > 0, accept).otherwise(0.0))
+    return plan.withColumn("accept", F.when(F.col("target") > 0, accept).otherwise(0.0))
 
 
 def accepted(reads: DataFrame, plan: DataFrame, row_id: str, seed: int) -> DataFrame:
@@ -69,7 +69,8 @@ def accepted(reads: DataFrame, plan: DataFrame, row_id: str, seed: int) -> DataF
 
 
 def quota_sample(rows: DataFrame, draws: DataFrame, row_id: str = "feat_id", seed: int = 5, oversampling: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """The sample (``draw_id``, ``class_code``, row id) and its report (:func:`quota_plan` with ``drawn``).
+    """The sample (``draw_id``, ``class_code``, row id) and its report: :func:`quota_plan` with ``drawn``, counted in the
+    sample as it came out, and ``deficit``, how far that stays below the target.
 
     Each class of a draw gets exactly its target, or all available reads and a deficit in the report. Null, NaN or unknown
     classes are never drawn. A draw of an unknown run, or an empty table, has nothing but deficits.
@@ -86,4 +87,5 @@ def quota_sample(rows: DataFrame, draws: DataFrame, row_id: str = "feat_id", see
     sample = take_smallest(first, GROUP, "_key", row_id, plan.select(*GROUP, F.col("target").alias("quota")))
     drawn = sample.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("drawn"))
     report = plan.drop("accept").join(drawn, GROUP, "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    report = report.withColumn("deficit", F.greatest(F.lit(0), F.col("target") - F.col("drawn")))
     return sample.select(*GROUP, row_id), report
