@@ -1,4 +1,4 @@
-"""Voters of general words: sentences that share no phrase with the lexicon, written before the word lists and not used to choose them."""
+"""Voters of general words: sentences written before the word lists, whose wordings they don't quote."""
 
 import pytest
 
@@ -24,21 +24,22 @@ def side(line):
     return (fired @ abuse.SIDE).sum()
 
 
-def test_share_no_phrase():
-    import re
-
-    letters = lambda x: re.sub(r"[\W\d_]", "", x.lower())
-    phrases = [letters(p) for v in (abuse.FOR | abuse.AGAINST).values() for p in v if len(p.split()) > 1]
-    assert not [(p, x) for p in phrases for x in BAD if p in letters(x)]
-
-
 def test_unlisted_wordings():
-    """Of wordings without a phrase of the lexicon, at least three in four get a vote for such content, and hardly any harmless ones do."""
+    """Of these wordings at least three in four get a vote for such content, and hardly any harmless ones do."""
     found = [x for x in BAD if side(x) > 0]
     assert len(found) >= 0.75 * len(BAD), sorted(set(BAD) - set(found))
     assert sum(side(x) > 0 for x in FINE) <= 1
 
 
-@pytest.mark.parametrize("line", ["You d i s g u s t i n g s l a g.", "Y0u d1sgusting slaaag!", "You dis​gusting slag"])
+@pytest.mark.parametrize("line", ["You d i s g u s t i n g s l a g.", "Y0u d1sgusting slaaag!", "You dis​gusting slag", "You b*tch", "you a**hole", "F*** you, you f*cking moron", "10:30, you filthy whore", "<you stupid bitch>"])
 def test_disguised(line):
     assert side(line) > 0
+
+
+def test_masks():
+    assert abuse.unmasked("what a b*tch, sh*t")[0] == "what a bitch, shit" and abuse.unmasked("*laughs* 3 * 4 = 12")[1] is False
+
+
+def test_a_late_word_counts():
+    """What condemns may follow what it condemns."""
+    assert side("Foreigners are vermin, said nobody, and it is a disgrace to say so.") <= 0

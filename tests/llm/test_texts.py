@@ -170,12 +170,14 @@ def test_lines():
 
 
 def test_label_model_learns_who_is_right(spark):
-    """A voter that contradicts many others ends as the less accurate one."""
-    a, b, c = (1 << abuse.VOTERS.index(x) for x in ("en threat", "en insult", "condemns"))
-    patterns = spark.createDataFrame([(a | b, 300), (a, 100), (b, 100), (a | b | c, 50), (c, 5), (0, 9000)], "votes bigint, n bigint")
+    """A voter that fires where many others say the opposite ends as one that says little; the share of such lines is learned."""
+    a, b, c, d = (1 << abuse.VOTERS.index(x) for x in ("threat", "scorn", "condemns", "arson"))
+    patterns = spark.createDataFrame([(a | b, 300), (a, 100), (b, 100), (a | b | c, 50), (d, 20), (c | d, 200), (c, 800), (0, 90_000)], "votes bigint, n bigint")
     model = abuse.fit_label_model(patterns)
     right = dict(zip(abuse.VOTERS, model.right))
-    assert right["condemns"] < 0.6 < right["en threat"]
-    p = model.posterior(abuse._bits(__import__("numpy").array([a | b, 0])))
-    assert p[0] > 0.9 and p[1] < 0.01
-    assert dict(zip(abuse.VOTERS, model.weight))["en threat"] <= 1.0
+    assert right["threat"] > 0.9 and right["arson"] < 0.7 < right["condemns"]
+    # 550 of 1,570 lines with a vote, and a share of that among the others
+    assert 0.25 < model.prior < 0.45 and 1e-5 < model.unvoted < 0.01
+    p = model.posterior(abuse._bits(__import__("numpy").array([a | b, a, c | d, 0])))
+    assert p[0] > 0.9 and p[1] > 0.5 and p[2] < 0.3 and p[3] == model.unvoted
+    assert dict(zip(abuse.VOTERS, model.weight))["threat"] <= 1.0
