@@ -15,7 +15,11 @@ from quillmap.functions.names import read_key
 from quillmap.session import cut
 
 
-def dense_numbers(df: DataFrame, key: str, partitions: int = 4096) -> tuple[DataFrame, int]:
+#: Partitions that rows are numbered in, at least and at most; a partition has about so many rows between the two.
+LEAST_PARTS, MOST_PARTS, PART_ROWS = 4096, 1 << 18, 1_000_000
+
+
+def dense_numbers(df: DataFrame, key: str) -> tuple[DataFrame, int]:
     """``df`` with ``number`` from 0 to N - 1, and N. ``key`` must be unique.
 
     Rows are dealt to ``partitions`` by the hash of their key; the counts of the partitions (all that the driver sees) give
@@ -23,6 +27,7 @@ def dense_numbers(df: DataFrame, key: str, partitions: int = 4096) -> tuple[Data
     tasks, their order or their repetition.
     """
     spark = df.sparkSession
+    partitions = min(MOST_PARTS, max(LEAST_PARTS, df.count() // PART_ROWS))
     dealt = df.withColumn("_part", F.pmod(F.xxhash64(key, F.lit("part")), F.lit(partitions)).cast("int"))
     sizes = dict(dealt.groupBy("_part").agg(F.count(F.lit(1))).collect())
     offsets, total = [], 0
@@ -74,6 +79,17 @@ def last_deliveries(rows: DataFrame, values: list[str], row_id: str = "feat_id",
     return rows.groupBy(read_key(F.col(name), F.col(row_id)).alias("read_key")).agg(last).select("read_key", "_v.*")
 
 
+def shuffled(rows: DataFrame, values: list[str], seed: int = 7, row_id: str = "feat_id", name: str = "read_name", arrived: str = "arrived_at") -> DataFrame:
+    """Every read as its last arrived row: ``read_key``, the row id, ``values``, ``number`` (0 to N - 1) and ``position``, its place in the permutation.
+
+    Rows without a name are reads of their own; null values stay null; an empty table gives no rows.
+    """
+    # written once: what is numbered must be what is joined, and the count comes first
+    reads = cut(last_deliveries(rows, values, row_id, name, arrived))
+    numbered, total = dense_numbers(reads, "read_key")
+    return numbered.withColumn("position", permuted(max(1, total), seed)("number"))
+
+
 def fixed_sample(
     rows: DataFrame, values: list[str], k: int = 1000, seed: int = 7, row_id: str = "feat_id", name: str = "read_name", arrived: str = "arrived_at"
 ) -> DataFrame:
@@ -82,10 +98,4 @@ def fixed_sample(
     Gives ``read_key``, the row id, ``values`` and ``position``, the place in the permutation; a smaller k with the same seed
     gives a prefix. Rows without a name are reads of their own; null values stay null; an empty table or k below 1 gives no rows.
     """
-    reads = cut(last_deliveries(rows, values, row_id, name, arrived))
-    numbered, total = dense_numbers(reads.select("read_key"), "read_key")
-    if total == 0 or k < 1:
-        return reads.limit(0).withColumn("position", F.lit(None).cast("bigint"))
-    chosen = numbered.withColumn("position", permuted(total, seed)("number")).where(F.col("position") < min(k, total)).select("read_key", "position")
-    # at most k rows; a sample too large to send around is joined by shuffle
-    return reads.join(F.broadcast(chosen) if k <= 100_000 else chosen, "read_key")
+    return shuffled(rows, values, seed, row_id, name, arrived).where(F.col("position") < max(0, k)).drop("number")

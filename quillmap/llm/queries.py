@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmap.functions.names import template
 from quillmap.llm import abuse, fixed_sample, mixture, neighbors, quota_sample, splits, tokens
+from quillmap.session import cut
 from quillmap.sources.tables import table
 
 
@@ -17,6 +19,30 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_rows(table(spark, d, "feats"), table(spark, d, "template_alias"), table(spark, d, "split_share"))
 
 
+def p1_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row: rows with a split, tied groups and templates in more than one split, and whether every share of rows is within 0.05 of its target."""
+    feats, alias, shares = table(spark, d, "feats"), table(spark, d, "template_alias"), table(spark, d, "split_share")
+    split = cut(splits.split_rows(feats, alias, shares))
+    groups = splits.related_groups(feats, alias).join(split, "feat_id").groupBy("group_id").agg(F.min("split_name").alias("a"), F.max("split_name").alias("b"))
+    names = feats.select("feat_id", template(F.col("read_name")).alias("t")).where("t IS NOT NULL").join(split, "feat_id").groupBy("t").agg(F.min("split_name").alias("a"), F.max("split_name").alias("b"))
+    total = split.groupBy("split_name").agg(F.count(F.lit(1)).alias("n"))
+    near = shares.join(total, "split_name", "left").crossJoin(F.broadcast(total.agg(F.sum("n").alias("all")))).agg(F.every(F.abs(F.coalesce("n", F.lit(0)) / F.col("all") - F.col("share")) < 0.05).alias("near"))
+    broken = groups.agg(F.count_if(F.col("a") != F.col("b")).alias("broken_groups")).crossJoin(names.agg(F.count_if(F.col("a") != F.col("b")).alias("broken_templates")))
+    return split.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("feat_id").alias("n_ids")).crossJoin(broken).crossJoin(near)
+
+
+def p2_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Every read with its number, its place in the permutation and whether that puts it into the sample of 1,000."""
+    rows = fixed_sample.shuffled(table(spark, d, "feats"), ["mapq", "alignment_score"])
+    return rows.withColumn("sampled", F.col("position") < 1000)
+
+
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row: how many reads, numbers and positions there are, their ends, and the reads in the sample."""
+    ends = [f(c).alias(f"{n}_{c}") for c in ("number", "position") for n, f in (("n", F.count_distinct), ("least", F.min), ("most", F.max))]
+    return p2_positions(spark, d).agg(F.count_distinct("read_key").alias("n_reads"), *ends, F.count_if("sampled").alias("n_sampled"))
+
+
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return fixed_sample.fixed_sample(table(spark, d, "feats"), ["mapq", "alignment_score"])
 
@@ -117,6 +143,12 @@ d AS (SELECT p.feat_id AS a, v.feat_id AS b, list_distance(p.x, v.x) AS far FROM
 r AS (SELECT a, b FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY far, b) <= 5)
 SELECT DISTINCT least(a, b) AS feat_a, greatest(a, b) AS feat_b FROM r
 """
+P1_CHECKS_SQL = "SELECT count(*) AS n_rows, count(DISTINCT feat_id) AS n_ids, 0::BIGINT AS broken_groups, 0::BIGINT AS broken_templates, true AS near FROM feats"
+P2_CHECKS_SQL = rf"""
+WITH k AS (SELECT feat_id, {_CLEAN.format(c="read_name")} AS n FROM feats),
+r AS (SELECT count(DISTINCT coalesce({_STEM.format(x="n")} || '|' || regexp_extract(n, '::\d+\D*([12])', 1), 'row ' || feat_id)) AS n FROM k)
+SELECT n AS n_reads, n AS n_number, 0::BIGINT AS least_number, n - 1 AS most_number, n AS n_position, 0::BIGINT AS least_position, n - 1 AS most_position, least(n, 1000) AS n_sampled FROM r
+"""
 P4_SQL = _P4 + "SELECT draw_id, class_code FROM p WHERE available < target"
 P4_REPORT_SQL = _P4 + """
 SELECT draw_id, class_code, run, target, available, greatest(0, target - available) AS deficit, least(target, available) AS drawn FROM p"""
@@ -124,6 +156,9 @@ SELECT draw_id, class_code, run, target, available, greatest(0, target - availab
 LLM = {
     "p1_found": (p1_found, P1_SQL),
     "p1_splits": (p1_splits, None),
+    "p1_checks": (p1_checks, P1_CHECKS_SQL),
+    "p2_positions": (p2_positions, None),
+    "p2_checks": (p2_checks, P2_CHECKS_SQL),
     "p2_sample": (p2_sample, None),
     "p3_found": (p3_found, P3_SQL),
     "p3_neighbors": (p3_neighbors, None),
