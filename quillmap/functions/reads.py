@@ -116,6 +116,11 @@ def phred(p: Column) -> Column:
     return F.when((p >= 0) & (p <= 1), (F.lit(-10.0) * F.ln(safe) / F.ln(F.lit(10.0))).cast("int"))
 
 
+def curve_phred(q: Column) -> Column:
+    """Probability of a phred score as calibration curves take it: a score of 0 counts as 1e-5, so its probability is nearly 1."""
+    return F.pow(F.lit(10.0), -F.when(q == 0, F.lit(1e-5)).otherwise(q) / 10.0)
+
+
 def inverse_phred(q: Column) -> Column:
     """Probability of a phred score; a score of 0 gives 1e-6."""
     return F.when(q == 0, F.lit(1e-6)).otherwise(F.pow(F.lit(10.0), -q / 10.0))

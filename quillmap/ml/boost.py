@@ -2,8 +2,8 @@
 
 Features are binned once by their quantiles. A round sums the weights of both classes by feature and bin, one aggregation that
 combines before the shuffle to a few hundred rows, and the best split is read off the sums. A stump is a feature, a threshold
-and a value on either side, so the weight of a row is one expression over its features and all stumps so far: rounds add no
-lineage and keep no state in the data.
+and a value on either side; a row's margin is a column to which each round adds its stump, and which is written every
+``EVERY`` rounds, so a round costs the same however many came before.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.operators.sampling import draw
+from quillmap.session import cut
 
 
 @dataclass
@@ -48,6 +49,8 @@ class Boosted:
 
 
 BINS = 32
+#: Rounds after which the margins are written, so that their expression stays short.
+EVERY = 20
 
 
 def _edges(data: DataFrame, dims: int) -> list[list[float]]:
@@ -95,7 +98,7 @@ def adaboost(rows: DataFrame, rounds: int = 10, rate: float = 1.0, real: bool =
     data = rows.select("features", "label", F.xxhash64(F.col("features").cast("string"), F.rand(seed)).alias("_key") if "feat_id" not in rows.columns else F.col("feat_id").alias("_key"))
     data = data.withColumn("_x", vector_to_array("features")).persist()
     n1, n = data.agg(F.sum("label"), F.count(F.lit(1))).first()
-    out, binned = Boosted([]), None
+    out = Boosted([])
     try:
         if not n1 or n1 == n:
             out.stumps.append(Stump(0, 0.0, *([3.0, 3.0] if n1 else [-3.0, -3.0])))
@@ -104,17 +107,18 @@ def adaboost(rows: DataFrame, rounds: int = 10, rate: float = 1.0, real: bool =
         edges = _edges(data, len(data.first()["_x"]))
         # a row's bin of a feature is the number of thresholds below it
         bins = [_bin(F.col("_x")[j], cuts) for j, cuts in enumerate(edges)]
-        binned = data.withColumn("_bins", F.array(*bins)).persist()
+        # rounds over few rows cost as many tasks as there are partitions
+        state = cut(data.select("label", "_key", "_x", F.array(*bins).alias("_bins"), F.lit(0.0).alias("margin")).coalesce(n // 100_000 + 1))
         y = F.col("label") * 2 - 1
         for step in range(rounds):
-            grow = F.exp(F.greatest(F.least(-y * out.margin(), F.lit(30.0)), F.lit(-30.0)))
-            weighted = binned.withColumn("w", grow)
+            grow = F.exp(F.greatest(F.least(-y * F.col("margin"), F.lit(30.0)), F.lit(-30.0)))
+            weighted = state.withColumn("w", grow)
             if undersample:
                 weighted = weighted.where((F.col("label") == small) | (draw(F.col("_key"), seed * 1000 + step) < ratio * (1 << 32)))
             got = _split(weighted, edges)
             if got is None:
                 break
-            at, cut, left, right = got
+            at, edge, left, right = got
             total = sum(left) + sum(right)
             tiny = 1e-6 * total
             if real:
@@ -125,11 +129,12 @@ def adaboost(rows: DataFrame, rounds: int = 10, rate: float = 1.0, real: bool =
                 if wrong >= 0.5:
                     break
                 values = [rate * 0.5 * log((1 - wrong + 1e-9) / (wrong + 1e-9)) * v for v in sides]
-            out.stumps.append(Stump(at, cut, *values))
+            out.stumps.append(Stump(at, edge, *values))
+            state = state.withColumn("margin", F.col("margin") + out.stumps[-1].value())
+            if (step + 1) % EVERY == 0:
+                state = cut(state)
         return out
     finally:
-        if binned is not None:
-            binned.unpersist()
         data.unpersist()
 
 

@@ -29,15 +29,18 @@ def estimator(kind: str, c: float, n: int):
 def searched(kind: str, rows: DataFrame, grid: tuple[float, ...] = GRID_C, folds: int = 2, row_id: str = "feat_id", seed: int = 1):
     """The model with the best weighted F1 in stratified cross-validation, fitted again on all rows."""
     ranked = rank_within(rows.select(row_id, "label"), ["label"], row_id, seed).select(row_id, (F.col("number") % folds).cast("int").alias("fold"))
-    data = rows.join(ranked, row_id).persist()
+    spread = rows.join(ranked, row_id).persist()
+    n = spread.count()
+    # iterations over few rows cost as many tasks as there are partitions
+    data = spread.coalesce(n // 100_000 + 1).persist()
     try:
-        n = data.count()
         est = estimator(kind, 1.0, n)
         params = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * n) for c in grid]).build()
         search = CrossValidator(estimator=est, estimatorParamMaps=params, evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=folds, foldCol="fold", parallelism=4)
         return search.fit(data).bestModel
     finally:
         data.unpersist()
+        spread.unpersist()
 
 
 def decision(model, rows: DataFrame) -> DataFrame:
@@ -49,7 +52,7 @@ def decision(model, rows: DataFrame) -> DataFrame:
 def iterative(rows: DataFrame, kind: str = "lr", most_subsets: int = 300, grid: tuple[float, ...] = GRID_C, row_id: str = "feat_id", seed: int = 1):
     """The best of models trained on all of the smaller class and equally many of the larger.
 
-    After each model, rows of the larger class that it gets right leave the pool; it ends when the pool is smaller than the
+    After each model, rows of the larger class in its own subset that it gets right leave the pool; it ends when the pool is smaller than the
     smaller class or after ``most_subsets``. Best is the highest F1 of class 1 on all rows, the first among equals.
     """
     counts = {r["label"]: r["n"] for r in metrics.class_counts(rows).collect()}
@@ -60,20 +63,25 @@ def iterative(rows: DataFrame, kind: str = "lr", most_subsets: int = 300, grid:
     pool = rows.where(F.col("label") != small)
     best, best_f1 = None, -1.0
     for step in range(most_subsets):
-        subset = undersampled(least.unionByName(pool), "label", row_id, seed=seed + step)
+        subset = cut(undersampled(least.unionByName(pool), "label", row_id, seed=seed + step))
         model = searched(kind, subset, grid, row_id=row_id, seed=seed)
         told = decision(model, rows)
         f1 = metrics.rates(metrics.confusion(told)).first()["f1_1"] or 0.0
         if f1 > best_f1:
             best, best_f1 = model, f1
-        right = told.where((F.col("label") != small) & (F.col("predicted") == F.col("label"))).select(row_id)
-        # the pool is cut each time: a chain of anti joins would be planned and run from the start again
-        pool = cut(pool.join(right, row_id, "left_anti"))
+        pool = shrunk(pool, subset, model, small, row_id)
         if pool.count() < counts[small]:
             break
     return best
 
 
+def shrunk(pool: DataFrame, subset: DataFrame, model, small: int, row_id: str = "feat_id") -> DataFrame:
+    """``pool`` without the rows of the larger class in ``subset`` that ``model`` gets right: at most as many as the smaller class has rows."""
+    right = decision(model, subset).where((F.col("label") != small) & (F.col("predicted") == F.col("label"))).select(row_id)
+    # the pool is cut each time: a chain of anti joins would be planned and run from the start again
+    return cut(pool.join(right, row_id, "left_anti"))
+
+
 def fourier_features(rows: DataFrame, dims: int, size: int = 128, gamma: float = 1.0, seed: int = 1) -> DataFrame:
     """Random Fourier features of a Gaussian kernel in place of ``features``: a linear model on them approximates a kernel machine."""
     import numpy as np

@@ -97,10 +97,13 @@ def allele_counts(reads: DataFrame, least_quality: int = 5) -> DataFrame:
     Bases combine before the shuffle, which carries at most five rows for a position and task.
     """
     own = reads.where(F.col("contig_idx").isNotNull() & ~F.coalesce("is_unmapped", F.lit(False))).select("contig_idx", "begin_pos", "seq", "qual")
-    at = F.explode(F.sequence(F.lit(1), F.least(F.length("seq"), F.length("qual"))))
-    bases = own.where("length(seq) > 0 AND length(qual) > 0").select("contig_idx", "begin_pos", "seq", "qual", at.alias("i"))
-    fine = bases.where(F.ascii(F.expr("substring(qual, i, 1)")) - 33 >= least_quality)
-    return fine.groupBy("contig_idx", (F.col("begin_pos") + F.col("i") - 1).alias("pos"), F.upper(F.expr("substring(seq, i, 1)")).alias("base")).agg(F.count(F.lit(1)).alias("n"))
+    # a read's bases with their places and qualities; what comes out of the explode is these alone, not the read again for each
+    pairs = F.zip_with(F.split(F.upper("seq"), ""), F.split("qual", ""), lambda b, q: F.struct(b.alias("base"), (F.ascii(q) - 33).alias("q")))
+    placed = F.transform(pairs, lambda x, i: F.struct((F.col("begin_pos") + i).alias("pos"), x["base"].alias("base"), x["q"].alias("q")))
+    bases = own.where("length(seq) > 0 AND length(qual) > 0").select("contig_idx", F.explode(placed).alias("x")).select("contig_idx", "x.*")
+    # the longer of two strings of different length has no partner: null passes no filter
+    fine = bases.where((F.col("q") >= least_quality) & F.col("base").isNotNull())
+    return fine.groupBy("contig_idx", "pos", "base").agg(F.count(F.lit(1)).alias("n"))
 
 
 def variable_positions(counts: DataFrame, least_reads: int = 2, least_share: float = 0.2) -> DataFrame:

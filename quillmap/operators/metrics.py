@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmap.session import cut
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b.cast("double"), F.lit(0.0))
@@ -41,18 +43,18 @@ def brier(rows: DataFrame, label: str = "label", score: str = "score") -> DataFr
     return rows.agg(F.avg((F.col(score) - F.col(label)) * (F.col(score) - F.col(label))).alias("brier"))
 
 
-def average_precision(rows: DataFrame, label: str = "label", score: str = "score", ranges: int = 4096) -> DataFrame:
+def average_precision(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Sum over distinct scores, highest first, of the step in recall times precision.
 
-    Rows combine to one for each distinct score. Running counts are taken within ranges of the score, each starting from the
-    sum of the ranges above it, so that no task sees all scores.
+    Rows combine to one for each distinct score. Running counts are taken within ranges of about equally many scores, each starting from the
+    sum of the ranges above it, so that no task sees all scores, however they cluster.
     """
     points = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("tp")
     )
-    ends = points.agg(F.min("s").alias("_low"), F.max("s").alias("_high"), F.sum("tp").alias("_all"))
-    at = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_high") - F.col("s")) / (F.col("_high") - F.col("_low")) * ranges), F.lit(ranges - 1))).otherwise(0)
-    points = points.crossJoin(F.broadcast(ends)).withColumn("_at", at)
+    # the ranges are drawn by sampling, so what they come out as is written before it is used twice
+    points = cut(points.repartitionByRange(F.desc("s")).withColumn("_at", F.spark_partition_id()))
+    points = points.crossJoin(F.broadcast(points.agg(F.sum("tp").alias("_all"))))
     sums = points.groupBy("_at").agg(F.sum("n").alias("_n"), F.sum("tp").alias("_tp"))
     above = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_at", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"), F.coalesce(F.sum("_tp").over(above), F.lit(0)).alias("_tp"))

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.operators.exact_take import take_smallest
+from quillmap.operators.exact_take import last_taken, take_smallest
 from quillmap.operators.features import labelled
+from quillmap.session import cut
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -40,10 +41,15 @@ def replicates(reads: DataFrame, seeds: list[int], share: float, name: str = "qn
 
 def stratified_split(rows: DataFrame, label: str, row_id: str, train_share: float = 0.2, seed: int = 1) -> DataFrame:
     """``is_train`` for exactly ``train_share`` (rounded down) of each class; rows without a class are left out."""
-    rows = rows.where(F.col(label).isNotNull()).withColumn("_key", _spread(F.col(row_id), seed))
-    quota = rows.groupBy(label).agg(F.floor(F.count(F.lit(1)) * F.lit(train_share)).alias("quota"))
-    train = take_smallest(rows, [label], "_key", row_id, quota).select(row_id, F.lit(True).alias("is_train"))
-    return rows.drop("_key").join(train, row_id, "left").withColumn("is_train", F.coalesce("is_train", F.lit(False)))
+    key = _spread(F.col(row_id), seed)
+    # classes and keys alone are written once: what makes a label may cost much
+    keys = cut(rows.where(F.col(label).isNotNull()).select(label, row_id, key.alias("_key")))
+    quota = keys.groupBy(label).agg(F.floor(F.count(F.lit(1)) * F.lit(train_share)).alias("quota"))
+    last = last_taken(keys, [label], "_key", row_id, quota)
+    # each row is compared with the last one that its class gives to training: one row a class
+    whole = keys if rows.columns in ([row_id, label], [label, row_id]) else rows.where(F.col(label).isNotNull()).withColumn("_key", key)
+    taken = (F.col("_key") < F.col("_last_key")) | ((F.col("_key") == F.col("_last_key")) & (F.col(row_id) <= F.col("_last_tie")))
+    return whole.join(last, label, "left").select(*rows.columns, F.coalesce(taken, F.lit(False)).alias("is_train"))
 
 
 def undersampled(rows: DataFrame, label: str, row_id: str, factor: float = 1.0, seed: int = 1) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.operators.skew import salted_join
-from quillmap.session import cut
+from quillmap.session import cut, stored
 
 #: Cells that each entry is added to; each has its own third of a bucket's cells.
 HASHES = 3
@@ -152,10 +152,10 @@ def table_diff(
     tables without rows: each row of the other side is missing. Buckets that don't resolve are compared row by row, so the
     result is exact up to a collision of 64-bit row hashes of one key (chance 2^-64 for each changed row).
     """
-    a = main.select(*keys, *values)
-    b = mirror.select(*keys, *values)
+    # written once, as columns: the counts, the cells and the fetch each read what they need
+    a, b = stored(main.select(*keys, *values)), stored(mirror.select(*keys, *values))
     buckets = max(1, -(-max(a.count(), b.count()) // rows_per_bucket))
-    a, b = cut(_hashed(a, keys, values, buckets)), cut(_hashed(b, keys, values, buckets))
+    a, b = _hashed(a, keys, values, buckets), _hashed(b, keys, values, buckets)
     found, left = differing_keys(a, b, cells, rounds)
     found = found.distinct()
 

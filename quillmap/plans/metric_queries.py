@@ -23,6 +23,8 @@ SCORED = """s AS (SELECT feat_id, CAST(class_code AS INTEGER) AS label, CAST(map
   WHERE class_code IN (0, 1) AND mapq IS NOT NULL AND NOT isnan(mapq)), p AS (SELECT *, CAST(score > 0.05 AS INTEGER) AS predicted FROM s)"""
 CELLS = f"""WITH {SCORED}, c AS (SELECT count(*) FILTER (label = 0 AND predicted = 0) AS tn, count(*) FILTER (label = 0 AND predicted = 1) AS fp,
   count(*) FILTER (label = 1 AND predicted = 0) AS fn, count(*) FILTER (label = 1 AND predicted = 1) AS tp FROM p)"""
+PILEUP = """a AS (SELECT contig_idx, begin_pos, seq, qual, unnest(range(1, least(length(seq), length(qual)) + 1)) AS i FROM reads WHERE contig_idx IS NOT NULL AND NOT coalesce(is_unmapped, false)),
+  c AS (SELECT contig_idx, CAST(begin_pos + i - 1 AS INTEGER) AS pos, upper(substr(seq, i, 1)) AS base, count(*) AS n FROM a WHERE ascii(substr(qual, i, 1)) - 33 >= 5 GROUP BY ALL)"""
 SCALED = ["alignment_score", "edit_distance", "read_gc_content"]
 
 
@@ -56,7 +58,10 @@ QUERIES = {
         lambda s, d: metrics.score_histogram(scored(s, d)),
         f"WITH {SCORED} SELECT CAST(least(floor(score * 10), 9) AS INTEGER) AS bin, count(*) AS n FROM p GROUP BY 1",
     ),
-    "class_counts": (lambda s, d: metrics.class_counts(table(s, d, "feats"), "class_code"), "SELECT class_code, count(*) AS n FROM feats GROUP BY 1"),
+    "class_counts": (
+        lambda s, d: metrics.class_counts(table(s, d, "feats").withColumn("class_code", F.when(~F.isnan("class_code"), F.col("class_code")).cast("int")), "class_code"),
+        "SELECT CAST(trunc(CASE WHEN NOT isnan(class_code) THEN class_code END) AS INTEGER) AS class_code, count(*) AS n FROM feats GROUP BY 1",
+    ),
     "minmax_scale": (
         lambda s, d: metrics.minmax_scaled(table(s, d, "feats"), SCALED, ("feat_id",)),
         "WITH "
@@ -68,8 +73,9 @@ QUERIES = {
         f"WITH {SCORED} SELECT feat_id, CAST(trunc(-10 * ln(CASE WHEN score < 1e-8 THEN 1e-5 ELSE score END) / ln(10)) AS INTEGER) AS phred FROM p",
     ),
     "inverse_phred": (
-        lambda s, d: table(s, d, "reads").groupBy("mapq").agg(F.count(F.lit(1)).alias("n")).select("mapq", R.inverse_phred(F.col("mapq")).alias("p"), "n"),
-        "SELECT mapq, CASE WHEN mapq = 0 THEN 1e-6 ELSE pow(10, -mapq / 10.0) END AS p, count(*) AS n FROM reads GROUP BY mapq",
+        lambda s, d: table(s, d, "reads").groupBy("mapq").agg(F.count(F.lit(1)).alias("n")).select("mapq", R.inverse_phred(F.col("mapq")).alias("p"), R.curve_phred(F.col("mapq")).alias("p_curve"), "n"),
+        """SELECT mapq, CASE WHEN mapq = 0 THEN 1e-6 ELSE pow(10, -mapq / 10.0) END AS p, pow(10, -CASE WHEN mapq = 0 THEN 1e-5 ELSE mapq END / 10.0) AS p_curve, count(*) AS n
+        FROM reads GROUP BY mapq""",
     ),
     "isotonic_calibration": (
         calibrated,
@@ -90,8 +96,13 @@ QUERIES = {
     ),
     "pileup_counts": (
         lambda s, d: intervals.allele_counts(table(s, d, "reads")),
-        """WITH b AS (SELECT contig_idx, begin_pos, seq, qual, unnest(range(1, least(length(seq), length(qual)) + 1)) AS i FROM reads WHERE contig_idx IS NOT NULL AND NOT coalesce(is_unmapped, false))
-        SELECT contig_idx, CAST(begin_pos + i - 1 AS INTEGER) AS pos, upper(substr(seq, i, 1)) AS base, count(*) AS n FROM b WHERE ascii(substr(qual, i, 1)) - 33 >= 5 GROUP BY ALL""",
+        f"WITH {PILEUP} SELECT * FROM c",
+    ),
+    "pileup_calls": (
+        lambda s, d: intervals.variable_positions(intervals.allele_counts(table(s, d, "reads")), least_reads=1),
+        f"""WITH {PILEUP}, b AS (SELECT contig_idx, pos, base, n, row_number() OVER w AS r, sum(n) OVER (PARTITION BY contig_idx, pos) AS depth FROM c WHERE base <> 'N'
+          WINDOW w AS (PARTITION BY contig_idx, pos ORDER BY n DESC, base DESC))
+        SELECT x.contig_idx, x.pos, CAST(x.depth AS BIGINT) AS depth, x.base AS major, y.base AS minor, y.n AS minor_n FROM b x JOIN b y ON x.contig_idx = y.contig_idx AND x.pos = y.pos
+        WHERE x.r = 1 AND y.r = 2 AND y.n >= 1 AND y.n >= x.depth * 0.2""",
     ),
-    "pileup_calls": (lambda s, d: intervals.variable_positions(intervals.allele_counts(table(s, d, "reads"))), None),
 }
