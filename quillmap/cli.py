@@ -21,13 +21,26 @@ def load_reads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_reads(reads: DataFrame, contigs: DataFrame | None, path: str) -> None:
+def source_header(spark: SparkSession, path: str) -> list[str] | None:
+    """The header's lines of an alignment file; None for parquet."""
     if path.rstrip("/").endswith(".sam"):
-        text_files.write_sam(reads, contigs, path)
+        return text_files.sam_header(spark, path)
+    return bam.header_text(path).splitlines() if path.rstrip("/").endswith(".bam") else None
+
+
+def save_reads(reads: DataFrame, contigs: DataFrame | None, path: str, header: list[str] | None = None) -> None:
+    """Writes in the format that the path's ending names, with the header of the source where it has one."""
+    if path.rstrip("/").endswith(".sam"):
+        text_files.write_sam(reads, contigs, path, header)
     elif path.rstrip("/").endswith(".bam"):
         bam.register(reads.sparkSession)
-        names = ",".join(f"{r.name}:{r.length}" for r in contigs.orderBy("contig_idx").collect())
-        reads.orderBy("ord").write.format("bam").option("contigs", names).mode("append").save(path)
+        if contigs is not None:
+            names = ",".join(f"{r.name}:{r.length}" for r in contigs.orderBy("contig_idx").collect())
+        else:
+            fields = [dict(p.split(":", 1) for p in x.split("\t")[1:]) for x in header or [] if x.startswith("@SQ")]
+            names = ",".join(f"{f['SN']}:{f['LN']}" for f in fields)
+        out = reads.orderBy("ord").write.format("bam").option("contigs", names).mode("append")
+        (out.option("header", "\n".join(header) + "\n") if header else out).save(path)
     else:
         reads.write.parquet(path)
 
@@ -61,9 +74,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         names = o.features.split(",") if o.features else None
         text_files.write_features(features.feature_vector(reads, names), o.out)
     elif o.command == "recal":
-        save_reads(recalibrate.recalibrated(reads, text_files.read_scores(spark, o.scores)), contigs, o.out)
+        save_reads(recalibrate.recalibrated(reads, text_files.read_scores(spark, o.scores)), contigs, o.out, source_header(spark, o.reads))
     else:
-        save_reads(sampling.balanced_reads(reads, o.seed).drop("label"), contigs, o.out)
+        save_reads(sampling.balanced_reads(reads, o.seed).drop("label"), contigs, o.out, source_header(spark, o.reads))
 
 
 if __name__ == "__main__":

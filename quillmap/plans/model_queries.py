@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from quillmap.functions import reads as R
 from quillmap.ml import boost, calibrate, dataset, neighbors, undersample
 from quillmap.ml.dataset import DEFAULT_FEATURES
+from quillmap.operators import metrics
+from quillmap.session import stored
 from quillmap.sources.tables import table
 
 
 def _data(spark, d, features=DEFAULT_FEATURES):
     train, test = dataset.split(dataset.training_rows(table(spark, d, "feats"), features))
     scale = dataset.scaler(features).fit(train)
-    return dataset.scaled(scale, train).persist(), dataset.scaled(scale, test)
+    # read many times, by jobs that outlive this call: kept as a table, not in memory
+    return stored(dataset.scaled(scale, train)), dataset.scaled(scale, test)
 
 
 def _logistic(rows):
@@ -88,11 +91,16 @@ def predicted_scores(spark, d):
     return told.select("feat_id", R.phred(F.col("probability")).alias("mapq_new"), (F.col("probability") > 0.5).cast("int").alias("predicted"))
 
 
-NEAR = ["qual_intercept", "qual_slope", "read_trace", "ref_trace"]
+NEAR = DEFAULT_FEATURES
+#: Scaled features are rounded to this grid, so that sums of squares are exact and equal distances are equal in any order of summing.
+GRID = 1 << 16
 
 
 def _near(spark, d):
-    return dataset.training_rows(table(spark, d, "feats"), NEAR)
+    """All labelled rows with their features scaled to 0..1 over the table."""
+    rows = dataset.training_rows(table(spark, d, "feats"), NEAR)
+    rows = metrics.minmax_scaled(rows, NEAR, ("feat_id", "label"))
+    return stored(rows.select("feat_id", "label", *[(F.round(F.col(c) * GRID) / GRID).alias(c) for c in NEAR]))
 
 
 def knn(spark, d):
@@ -104,7 +112,9 @@ def tomek(spark, d):
     return neighbors.tomek_links(_near(spark, d), NEAR, "label", "feat_id")
 
 
-_V = f"""v AS (SELECT feat_id, CAST(class_code AS INTEGER) AS label, [{", ".join(f"coalesce(CASE WHEN NOT isnan({c}) THEN {c} END, 0)" for c in NEAR)}] AS x FROM feats WHERE class_code IN (0, 1))"""
+_CLEAN = ", ".join(f"coalesce(CASE WHEN NOT isnan({c}) THEN {c} END, 0) AS {c}" for c in NEAR)
+_SCALED = ", ".join(f"coalesce(round(({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0) * {GRID}) / {GRID}, 0)" for c in NEAR)
+_V = f"""c AS (SELECT feat_id, CAST(class_code AS INTEGER) AS label, {_CLEAN} FROM feats WHERE class_code IN (0, 1)), v AS (SELECT feat_id, label, [{_SCALED}] AS x FROM c)"""
 
 QUERIES = {
     "train_lr": (train_lr, None),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 READS = (
     "ord bigint, read_name string, qname string, is_first boolean, is_rc boolean, mate_rc boolean, is_unmapped boolean, contig_idx int, contig string, begin_pos int, "
-    "mapq int, tlen int, seq string, qual string, as_ int, xs int, ys int, xg int, nm int, xm int, xo int, yt string, tags map<string,string>"
+    "mapq int, tlen int, seq string, qual string, as_ int, xs int, ys int, xg int, nm int, xm int, xo int, yt string, tags map<string,string>, "
+    "tag_types map<string,string>, flag int, cigar string, mate_contig string, mate_pos int, record binary"
 )
 CONTIGS = "contig_idx int, name string, length int"
 SCORES = "read_name string, mapq_new int"

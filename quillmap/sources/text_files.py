@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmap.functions.reads import phred
@@ -31,7 +31,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     rows = lines.withColumn("ord", F.monotonically_increasing_id()).where(~F.col("value").startswith("@") & (F.size(f) >= 11))
     tags = F.transform(F.slice(f, 12, 1 << 20), lambda t: F.split(t, ":", 3))
     tags = F.filter(tags, lambda t: F.size(t) == 3)
-    rows = rows.select("ord", f.alias("f"), F.get(f, 1).try_cast("int").alias("flag"), F.map_from_entries(F.transform(F.array_distinct(tags), lambda t: F.struct(t[0], t[2]))).alias("tags"))
+    rows = rows.select("ord", f.alias("f"), F.get(f, 1).try_cast("int").alias("flag"), F.map_from_entries(F.transform(F.array_distinct(tags), lambda t: F.struct(t[0], t[2]))).alias("tags"), F.map_from_entries(F.transform(F.array_distinct(tags), lambda t: F.struct(t[0], t[1]))).alias("kinds"), F.col("value").alias("line"))
     known = F.col("f")[2] != "*"
 
     def tag(name: str) -> Column:
@@ -55,29 +55,65 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
         *[tag(t).try_cast("int").alias(c) for c, t in INT_TAGS.items()],
         tag("YT").alias("yt"),
         "tags",
-    )
+        # an array's element type comes first in its value
+        F.transform_values("kinds", lambda k, v: F.when(v == "B", F.concat(v, F.substring(F.try_element_at("tags", k), 1, 1))).otherwise(v)).alias("tag_types"),
+        "flag",
+        F.nullif(F.col("f")[5], F.lit("*")).alias("cigar"),
+        F.when(F.col("f")[6] == "=", F.nullif(F.col("f")[2], F.lit("*"))).otherwise(F.nullif(F.col("f")[6], F.lit("*"))).alias("mate_contig"),
+        F.nullif(F.col("f")[7].try_cast("int") - 1, F.lit(-1)).alias("mate_pos"),
+        "line",
+    ).withColumn("tags", F.transform_values("tags", lambda k, v: F.when(F.try_element_at("tag_types", k).startswith("B"), F.substring(v, 3, 1 << 30)).otherwise(v)))
+
+
+def sam_header(spark: SparkSession, path: str) -> list[str]:
+    """The header's lines, in their order."""
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where(F.col("value").startswith("@"))
+    return [r["value"] for r in lines.orderBy("at").collect()]
 
 
 def sam_lines(reads: DataFrame) -> DataFrame:
-    """``ord`` and ``value``, one SAM line for each read."""
+    """``ord`` and ``value``, one SAM line for each read.
+
+    A read that was read from SAM keeps its line but for the mapping quality; others are written from their columns, of which ``flag``,
+    ``cigar``, ``mate_contig``, ``mate_pos``, ``tags`` and ``tag_types`` may be missing. A CIGAR or mate place that isn't there isn't made up.
+    """
 
     def bit(c: str, value: int) -> Column:
         return F.when(F.col(c), value).otherwise(0)
 
+    def own(c: str, kind: str = "string") -> Column:
+        return F.col(c) if c in reads.columns else F.lit(None).cast(kind)
+
     flag = bit("is_first", 0x40) + F.when(~F.col("is_first"), 0x80).otherwise(0) + bit("is_rc", 0x10) + bit("mate_rc", 0x20) + bit("is_unmapped", 0x4) + 1
+    mapq = F.coalesce("mapq", F.lit(255)).cast("string")
     fields = [
-        F.col("qname"), flag.cast("string"), F.coalesce("contig", F.lit("*")), (F.coalesce("begin_pos", F.lit(-1)) + 1).cast("string"), F.coalesce("mapq", F.lit(255)).cast("string"),
-        F.when(F.col("seq").isNotNull() & F.col("contig").isNotNull(), F.concat(F.length("seq").cast("string"), F.lit("M"))).otherwise("*"), F.lit("*"), F.lit("0"),
-        F.coalesce("tlen", F.lit(0)).cast("string"), F.coalesce("seq", F.lit("*")), F.coalesce("qual", F.lit("*")),
+        F.col("qname"), F.coalesce(own("flag", "int"), flag).cast("string"), F.coalesce("contig", F.lit("*")), (F.coalesce("begin_pos", F.lit(-1)) + 1).cast("string"), mapq,
+        F.coalesce(own("cigar"), F.lit("*")), F.coalesce(F.when(own("mate_contig") == F.col("contig"), "=").otherwise(own("mate_contig")), F.lit("*")),
+        (F.coalesce(own("mate_pos", "int"), F.lit(-1)) + 1).cast("string"), F.coalesce("tlen", F.lit(0)).cast("string"), F.coalesce("seq", F.lit("*")), F.coalesce("qual", F.lit("*")),
     ]
-    tags = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{t}:i:"), F.col(c).cast("string"))) for c, t in INT_TAGS.items()]
-    tags.append(F.when(F.col("yt").isNotNull(), F.concat(F.lit("YT:Z:"), F.col("yt"))))
-    return reads.select("ord", F.concat_ws("\t", *fields, *tags).alias("value"))
-
-
-def write_sam(reads: DataFrame, contigs: DataFrame, path: str) -> None:
-    """SAM text in the order of ``ord``; the first part begins with the header."""
-    head = contigs.select((F.col("contig_idx") - F.lit(1 << 40)).alias("ord"), F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), F.col("length").cast("string")).alias("value"))
+    known = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{t}:i:"), F.col(c).cast("string"))) for c, t in INT_TAGS.items()]
+    known.append(F.when(F.col("yt").isNotNull(), F.concat(F.lit("YT:Z:"), F.col("yt"))))
+    built = F.concat_ws("\t", *fields, *known)
+    if {"tags", "tag_types"} <= set(reads.columns):
+        # the integers of a binary file have one type here
+        kind = lambda k: F.coalesce(F.try_element_at("tag_types", k), F.when(k.isin(list(INT_TAGS.values())), "i").otherwise("Z"))
+        text = lambda k: F.when(kind(k).isin("c", "C", "s", "S", "I"), "i").when(kind(k).startswith("B"), F.concat(F.lit("B:"), F.substring(kind(k), 2, 1), F.lit(","))).otherwise(kind(k))
+        tag = lambda e: F.concat(e["key"], F.lit(":"), F.when(kind(e["key"]).startswith("B"), text(e["key"])).otherwise(F.concat(text(e["key"]), F.lit(":"))), e["value"])
+        every = F.transform(F.map_entries("tags"), tag)
+        built = F.when(F.size("tags") > 0, F.concat_ws("\t", *fields, F.array_join(every, "\t"))).otherwise(built)
+    if "line" in reads.columns:
+        f = F.split("line", "\t")
+        kept = F.array_join(F.concat(F.slice(f, 1, 4), F.array(mapq), F.slice(f, 6, 1 << 20)), "\t")
+        built = F.when(F.col("line").isNotNull(), kept).otherwise(built)
+    return reads.select("ord", built.alias("value"))
+
+
+def write_sam(reads: DataFrame, contigs: DataFrame | None, path: str, header: list[str] | None = None) -> None:
+    """SAM text in the order of ``ord``; the first part begins with ``header``, by default a line for each contig."""
+    if header is None:
+        head = contigs.select((F.col("contig_idx") - F.lit(1 << 40)).alias("ord"), F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), F.col("length").cast("string")).alias("value"))
+    else:
+        head = reads.sparkSession.createDataFrame([(i - (1 << 40), x) for i, x in enumerate(header)], "ord bigint, value string")
     head.unionByName(sam_lines(reads)).repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.text(path)
 
 
@@ -120,8 +156,17 @@ def write_wide_scores(rows: DataFrame, path: str, name: str = "read_name", score
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Name and score; ``ord`` rises with the place in the file, so the last of repeated names can win."""
-    return spark.read.schema(schemas.SCORES).csv(path, sep="\t").withColumn("ord", F.monotonically_increasing_id())
+    """Name and score; ``ord`` rises with the file's name and the place in the file, so the last of repeated names can win.
+
+    A task's rows keep the order they have in its range of a file; ranges are numbered by file and first byte.
+    """
+    rows = spark.read.schema(schemas.SCORES).csv(path, sep="\t")
+    rows = rows.withColumns({"_file": F.col("_metadata.file_path"), "_from": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    # one row for each range of a file
+    ranges = rows.groupBy("_file", "_from").agg(F.min("_row").alias("_first"))
+    ranges = ranges.withColumn("_range", F.row_number().over(Window.orderBy("_file", "_from")))
+    at = F.shiftleft(F.col("_range").cast("bigint"), 33) + F.col("_row") - F.col("_first")
+    return rows.join(F.broadcast(ranges), ["_file", "_from"]).select("read_name", "mapq_new", at.alias("ord"))
 
 
 def append_stats(row: DataFrame, path: str) -> None:

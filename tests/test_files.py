@@ -1,6 +1,8 @@
 """Round trips through every file format."""
 
 import gzip
+import random
+import struct
 
 import pytest
 
@@ -114,3 +116,95 @@ def test_streams(spark, tmp_path):
     q = arrivals.arrival_counts(stream, "1 day", "90 days").writeStream.format("memory").queryName("arrived").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(reads) FROM arrived").first()[0] == reads.where("arrived_at IS NOT NULL").count()
+
+
+def alignments(n=3000):
+    """Records of a sorted file with gaps, secondary and supplementary ones, mates elsewhere and tags of every type."""
+    rng, out = random.Random(8), []
+    for i in range(n):
+        contig = i * 2 // n
+        name = f"r{rng.randint(0, 999)}".encode() + b"\0"
+        steps = [(50, 0), (1, 2), (50, 0)] if i % 3 else [(10, 4), (90, 0)]
+        cigar = b"".join(struct.pack("<I", a << 4 | b) for a, b in steps)
+        flag = 1 | rng.choice([0x40, 0x80]) | rng.choice([0, 0x100, 0x200, 0x400, 0x800, 0x8])
+        tags = b"NMC" + bytes([i % 200]) + b"ASs" + struct.pack("<h", -5) + b"RGZone\0" + b"XAAq" + b"ZBBs" + struct.pack("<i2h", 2, -3, i % 99) + b"ZFf" + struct.pack("<f", 0.5)
+        pos = (i % (n // 2)) * 30
+        head = struct.pack("<iiBBHHHiiii", contig, pos, len(name), rng.randint(0, 60), 4681, len(steps), flag, 100, 1 - contig, i, 350)
+        out.append(head + name + cigar + bytes(rng.randint(0, 255) & 0x77 | 0x11 for _ in range(50)) + bytes(rng.randint(0, 40) for _ in range(100)) + tags)
+    return out
+
+
+TEXT = "@HD\tVN:1.6\tSO:coordinate\n@SQ\tSN:c1\tLN:100000\n@SQ\tSN:c2\tLN:90000\n@RG\tID:one\tSM:x\n@PG\tID:map\tPN:any\n"
+
+
+@pytest.fixture(scope="module")
+def alignment_file(tmp_path_factory):
+    path = tmp_path_factory.mktemp("bam") / "in.bam"
+    text = TEXT.encode()
+    data = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", 2) + b"".join(struct.pack("<i", 3) + n + b"\0" + struct.pack("<i", x) for n, x in ((b"c1", 100000), (b"c2", 90000)))
+    data += b"".join(struct.pack("<i", len(r)) + r for r in alignments())
+    path.write_bytes(b"".join(bam._block(data[a : a + 9000]) for a in range(0, len(data), 9000)) + bam.LAST_BLOCK)
+    return str(path)
+
+
+def raw_records(path):
+    blocks, out = bam.Blocks(path), []
+    bam.header(blocks)
+    while len(size := blocks.read(4)) == 4:
+        out.append(blocks.read(struct.unpack("<i", size)[0]))
+    return out
+
+
+def test_bam_is_read_in_pieces(spark, alignment_file):
+    """Without an index one file is many tasks, none of which loses or repeats a record; a range of places is pruned."""
+    bam.register(spark)
+    df = spark.read.format("bam").option("split", 20_000).load(alignment_file)
+    assert len(bam.BamReader({"path": alignment_file, "split": "20000"}).partitions()) > 8
+    assert [bytes(r["record"]) for r in df.orderBy("ord").collect()] == alignments()
+    first = df.orderBy("ord").first()
+    assert first["cigar"] == "10S90M" and first["mate_contig"] == "c2" and first["mate_pos"] == 0 and first["tags"]["ZB"] == "-3,0" and first["tag_types"]["ZB"] == "Bs"
+    for index in (False, True):
+        if index:
+            bam.index_file(alignment_file)
+        got = spark.read.format("bam").option("contig", 1).option("begin", 20_000).option("end", 30_000).option("split", 20_000).load(alignment_file)
+        want = [r for r in alignments() if struct.unpack_from("<ii", r)[0] == 1 and 20_000 <= struct.unpack_from("<ii", r)[1] < 30_000]
+        assert [bytes(r["record"]) for r in got.orderBy("ord").collect()] == want
+    assert spark.read.format("bam").option("split", 20_000).load(alignment_file).count() == 3000
+
+
+def test_recalibration_changes_nothing_else(spark, alignment_file, tmp_path):
+    """Records are byte-equal but for the mapping quality, the header's text is kept; so are SAM lines."""
+    scores = tmp_path / "s.tsv"
+    scores.write_text("".join(f"r{i}/{m}\t{i % 60}\n" for i in range(500) for m in (1, 2)))
+    out = tmp_path / "out.bam"
+    cli.main(["recal", "--reads", alignment_file, "--out", str(out), "--scores", str(scores)], spark)
+    assert bam.header_text(str(out)) == TEXT
+    back = [r for f in bam.files(str(out)) for r in raw_records(f)]
+    want = alignments()
+    assert sorted(r[:9] + r[10:] for r in back) == sorted(r[:9] + r[10:] for r in want)
+    by = {r[:9] + r[10:]: r[9] for r in back}
+    for r in want:
+        name = int(r[32 : 32 + r[8] - 1][1:])
+        assert by[r[:9] + r[10:]] == (name % 60 if name < 500 else r[9])
+    sam = tmp_path / "x.sam"
+    cli.main(["recal", "--reads", alignment_file, "--out", str(sam), "--scores", str(scores)], spark)
+    lines = [r["value"] for r in spark.read.text(str(sam)).collect()]
+    assert [x for x in lines if x.startswith("@")] == TEXT.splitlines()
+    f = next(x for x in lines if "10S90M" in x).split("\t")
+    assert f[5] == "10S90M" and f[6] == "c2" and f[7] == "1" and {"AS:i:-5", "RG:Z:one", "XA:A:q", "ZF:f:0.5", "ZB:B:s,-3,0"} <= set(f[11:])
+    again = tmp_path / "y.sam"
+    cli.main(["recal", "--reads", str(sam), "--out", str(again), "--scores", str(scores)], spark)
+    assert sorted(r["value"] for r in spark.read.text(str(again)).collect()) == sorted(lines)
+    # and from text to binary
+    third = tmp_path / "z.bam"
+    cli.main(["recal", "--reads", str(sam), "--out", str(third), "--scores", str(scores)], spark)
+    kept = spark.read.format("bam").load(str(third)).select("qname", "flag", "cigar", "mate_contig", "mate_pos", "mapq", "tags")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.read.format("bam").load(str(out)).select(*kept.columns).collect()))
+
+
+def test_scores_last_wins_over_files(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s/b.tsv").write_text("x/1\t3\n" + "y/1\t4\n" * 50 + "x/1\t5\n")
+    (tmp_path / "s/a.tsv").write_text("x/1\t9\n" * 10)
+    got = text_files.read_scores(spark, str(tmp_path / "s")).orderBy("ord").collect()
+    assert [r["mapq_new"] for r in got] == [9] * 10 + [3] + [4] * 50 + [5]
