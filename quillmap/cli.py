@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmap.operators import features, recalibrate, sampling
+from quillmap.functions.reads import FEATURES as READ_FEATURES
 from quillmap.session import ship
 from quillmap.sources import bam, text_files
 
@@ -55,6 +56,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--contigs", help="parquet of contigs, or a FASTA index")
         if name == "features":
             c.add_argument("--features", help="comma-separated names; all by default")
+            c.add_argument("--genome", help="FASTA with an index, for the features of the reference window")
         if name == "recal":
             c.add_argument("--scores", required=True, help="tab-separated names and scores")
         if name == "samplebam":
@@ -72,7 +74,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     reads = load_reads(spark, o.reads)
     if o.command == "features":
         names = o.features.split(",") if o.features else None
-        text_files.write_features(features.feature_vector(reads, names), o.out)
+        if names and set(names) <= set(READ_FEATURES):
+            # a projection of the reads alone
+            text_files.write_features(features.feature_vector(reads, names), o.out)
+        else:
+            chunk = 1 << 20
+            genome = text_files.read_genome(spark, o.genome, chunk) if o.genome else None
+            rows = features.full_vector(reads, contigs if contigs is not None else text_files.read_fai(spark, f"{o.genome}.fai") if o.genome else None, genome, chunk)
+            text_files.write_features(rows.select("read_name", *names) if names else rows, o.out)
     elif o.command == "recal":
         save_reads(recalibrate.recalibrated(reads, text_files.read_scores(spark, o.scores)), contigs, o.out, source_header(spark, o.reads))
     else:

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def plain_list(text: Column) -> Column:
+    """Text of a printed list as bare fields: without quotes, brackets and a tab at the end."""
+    return F.regexp_replace(F.translate(text, "'[]", ""), r"\t+$", "")
+
+
 def contig_code(name: Column) -> Column:
     """A contig name without prefix, letter case, blanks and leading zeros: ``CHR07`` and `` 7`` both give ``7``."""
     bare = F.regexp_replace(F.lower(name), r"\s+", "")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillmap.functions import reads as R
 from quillmap.functions import sequences as S
-from quillmap.operators.intervals import reference_pieces, reference_windows
+from quillmap.operators.intervals import reference_pieces, reference_windows, with_depth
+from quillmap.sources.schemas import FEATURE_FILE
 
 LAGGED = ["n_low_qual_bases", "avg_low_qual_base_score"]
 
@@ -52,6 +53,25 @@ def sequence_features(reads: DataFrame) -> DataFrame:
     return rows.select("ord", "read_gc_content", "read_complexity_score", *named, *inv)
 
 
+def full_vector(reads: DataFrame, contigs: DataFrame | None = None, genome: DataFrame | None = None, chunk: int = 1 << 20) -> DataFrame:
+    """``ord``, ``read_name`` and the 33 columns of the feature file for every usable read; those of the reference are 0 without a genome.
+
+    What comes from a read itself is one projection; depth and reference window are joined to it. Invariants and slopes that
+    aren't defined are 0, as the file has no null.
+    """
+    own = usable(reads).select(
+        "ord", "read_name", *[R.FEATURES[n]().alias(n) for n in R.FEATURES],
+        F.coalesce(S.gc_content(F.col("seq")), F.lit(0.0)).alias("read_gc_content"), S.quality_line("qual").alias("_line"), S.zlib_length(6)("seq").alias("read_complexity_score"),
+        S.sequence_invariants("seq").alias("_inv"),
+    )
+    named = {"qual_intercept": "_line.intercept", "qual_slope": "_line.slope", "qual_r_value": "_line.r", **{f"read_{a}": f"_inv.{a}" for a in ("eigenval_1", "eigenval_2", "trace", "det")}}
+    own = own.withColumns({a: F.col(b) for a, b in named.items()}).drop("_line", "_inv")
+    out = own.join(with_depth(usable(reads)).withColumnRenamed("depth", "read_depth"), "ord", "left")
+    if genome is not None:
+        out = out.join(reference_features(reads, contigs, genome, chunk), "ord", "left")
+    return out.select("ord", "read_name", *[(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in out.columns else F.lit(0.0)).alias(c) for c in FEATURE_FILE])
+
+
 def reference_features(reads: DataFrame, contigs: DataFrame, genome: DataFrame, chunk: int, margin: int = 125) -> DataFrame:
     """GC content, complexity and invariants of each read's reference window."""
     pieces = reference_pieces(reference_windows(usable(reads), contigs, margin), genome, chunk)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmap.functions.variant_values import allele, alternatives, contig_code, quality_cents
+from quillmap.functions.variant_values import allele, alternatives, contig_code, plain_list, quality_cents
 from quillmap.operators import variants
 from quillmap.sources.tables import table
 
@@ -74,7 +74,17 @@ _STATS = ", ".join(
     + [f"max({c}) FILTER (callset = '{w}') AS {m}_{n}" for n, w in (("before", "nocal"), ("after", "recal")) for c, m in (('"precision"', "precision"), ("recall", "recall"))]
 )
 
+def plain_lists(spark, d):
+    """Places and alleles printed as lists, cleaned of quotes and brackets, with ``chr`` before bare numbers, counted by what comes out."""
+    text = F.concat(F.lit("['"), F.coalesce(F.trim("chrom"), F.lit("")), F.lit("', '"), F.coalesce(F.trim("ref_allele"), F.lit("")), F.lit("']\t"))
+    return table(spark, d, "vcf_mirror").groupBy(F.regexp_replace(plain_list(text), "^([1-7])", "chr$1").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "plain_lists": (
+        plain_lists,
+        """SELECT regexp_replace(coalesce(trim(chrom), '') || ', ' || coalesce(trim(ref_allele), ''), '^([1-7])', 'chr\\1') AS line, count(*) AS n FROM vcf_mirror GROUP BY 1""",
+    ),
     "vcf_compare": (outcomes, f"WITH {OUTCOMES} SELECT * FROM o"),
     "call_rates": (lambda s, d: variants.call_rates(outcomes(s, d)), f"WITH {OUTCOMES} SELECT * FROM r"),
     "snp_stats": (

@@ -48,17 +48,17 @@ def train_second_stage(spark, d):
 
 def train_adaboost(spark, d):
     train, test = _data(spark, d)
-    return dataset.report("adb", boost.adaboost(train, rounds=8).scored(test))
+    return dataset.report("adb", boost.searched(train).scored(test))
 
 
 def train_rusboost(spark, d):
     train, test = _data(spark, d)
-    return dataset.report("rubst", boost.adaboost(train, rounds=8, undersample=True).scored(test))
+    return dataset.report("rubst", boost.searched(train, undersample=True).scored(test))
 
 
 def train_easy_ensemble(spark, d):
     train, test = _data(spark, d)
-    return dataset.report("easy", boost.easy_ensemble(train, bags=2, rounds=4).scored(test))
+    return dataset.report("easy", boost.easy_ensemble(train, bags=4, rounds=10).scored(test))
 
 
 def train_bagging(spark, d):
@@ -69,7 +69,7 @@ def train_bagging(spark, d):
 
 def train_gbt(spark, d):
     train, test = _data(spark, d)
-    model = GBTClassifier(weightCol="weight", maxIter=8, maxDepth=4, seed=1).fit(dataset.balanced_weights(train))
+    model = GBTClassifier(weightCol="weight", maxIter=30, maxDepth=4, seed=1).fit(dataset.balanced_weights(train))
     return dataset.report("gbt", model.transform(test).withColumn("score", dataset.chance()))
 
 
@@ -77,7 +77,7 @@ def train_gbt_stopped(spark, d):
     """Boosted trees that stop once a tenth of the training rows, held back, no longer improves."""
     train, test = _data(spark, d)
     rows = dataset.balanced_weights(train).withColumn("held", F.pmod(F.xxhash64("feat_id"), F.lit(10)) == 0)
-    model = GBTClassifier(weightCol="weight", validationIndicatorCol="held", maxIter=12, maxDepth=3, seed=1).fit(rows)
+    model = GBTClassifier(weightCol="weight", validationIndicatorCol="held", maxIter=60, maxDepth=3, seed=1).fit(rows)
     return dataset.report("gbt_stopped", model.transform(test).withColumn("score", dataset.chance()))
 
 
@@ -112,6 +112,23 @@ def tomek(spark, d):
     return neighbors.tomek_links(_near(spark, d), NEAR, "label", "feat_id")
 
 
+def rerank_positives(spark, d):
+    """New scores of the rows that a first model takes for misaligned, from a second one trained on them without Tomek links."""
+    train, test = _data(spark, d)
+    model = LogisticRegression(weightCol="weight", maxIter=50).fit(dataset.balanced_weights(train))
+    told = model.transform(test).withColumn("score", dataset.chance()).select("feat_id", "label", "features", "score")
+    return neighbors.reranked(told, len(DEFAULT_FEATURES))
+
+
+def svm_calibrated(spark, d):
+    """Chances from a linear machine: its decision values through an isotonic map fitted on the training rows."""
+    train, test = _data(spark, d)
+    model = undersample.estimator("svm", 100.0, train.count()).fit(train)
+    curve = calibrate.fit_isotonic(undersample.decision(model, train), "label", "decision")
+    told = calibrate.apply_isotonic(undersample.decision(model, test), curve, "decision")
+    return told.select("feat_id", "label", F.col("probability").alias("score"))
+
+
 _CLEAN = ", ".join(f"coalesce(CASE WHEN NOT isnan({c}) THEN {c} END, 0) AS {c}" for c in NEAR)
 _SCALED = ", ".join(f"coalesce(round(({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0) * {GRID}) / {GRID}, 0)" for c in NEAR)
 _V = f"""c AS (SELECT feat_id, CAST(class_code AS INTEGER) AS label, {_CLEAN} FROM feats WHERE class_code IN (0, 1)), v AS (SELECT feat_id, label, [{_SCALED}] AS x FROM c)"""
@@ -127,6 +144,8 @@ QUERIES = {
     "train_gbt": (train_gbt, None),
     "train_gbt_stopped": (train_gbt_stopped, None),
     "predicted_scores": (predicted_scores, None),
+    "rerank_positives": (rerank_positives, None),
+    "svm_calibrated": (lambda s, d: dataset.report("svm", svm_calibrated(s, d)), None),
     "knn": (
         knn,
         f"""WITH {_V}, d AS (SELECT q.feat_id, v.feat_id AS b, v.label, list_distance(q.x, v.x) AS far FROM v q JOIN v ON q.feat_id <> v.feat_id WHERE q.feat_id % 20 = 0),

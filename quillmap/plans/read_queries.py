@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions import reads as R
 from quillmap.functions import sequences as S
-from quillmap.operators import features, recalibrate, sampling
+from quillmap.operators import features, intervals, recalibrate, sampling
 from quillmap.sources.tables import table
 
 
@@ -61,7 +61,49 @@ def pools(spark, d):
     return sampling.resampled_pools(rows, "label", "predicted", "ord")
 
 
+#: Letters of a chunk of the stand-in genome.
+CHUNK = 1024
+
+
+def genome(spark, d):
+    """A genome for the contigs of the data, which come without one: its letters are the digits of digests of contig, chunk and place.
+
+    Letters are made of the chunks that some read's window touches.
+    """
+    windows = intervals.reference_windows(features.usable(_reads(spark, d)), table(spark, d, "contigs"))
+    touched = F.explode(F.sequence(F.floor(F.col("left") / CHUNK).cast("int"), F.floor((F.col("right") - 1) / CHUNK).cast("int"))).alias("chunk_no")
+    chunks = table(spark, d, "contigs").select("contig_idx", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / CHUNK).cast("int"))).alias("chunk_no"))
+    chunks = chunks.join(windows.select("contig_idx", touched).distinct(), ["contig_idx", "chunk_no"], "left_semi")
+    letters = F.transform(F.sequence(F.lit(0), F.lit(CHUNK // 32 - 1)), lambda i: F.translate(F.md5(F.concat_ws("|", "contig_idx", "chunk_no", i)), "0123456789abcdef", "ACGT" * 4))
+    return chunks.select("contig_idx", "chunk_no", F.substring(F.array_join(letters, ""), F.lit(1), F.least(F.lit(CHUNK), F.col("length") - F.col("chunk_no") * CHUNK).cast("int")).alias("seq"))
+
+
+def reference_text(spark, d):
+    """The reference text of each read's window, and its GC content."""
+    windows = intervals.reference_windows(features.usable(_reads(spark, d)), table(spark, d, "contigs"))
+    pieces = intervals.reference_pieces(windows, genome(spark, d), CHUNK)
+    return pieces.select("ord", F.md5("piece").alias("piece_md5"), F.length("piece").alias("letters"), S.gc_content(F.col("piece")).alias("ref_gc_content"))
+
+
+def reference_features(spark, d):
+    return features.reference_features(_reads(spark, d), table(spark, d, "contigs"), genome(spark, d), CHUNK)
+
+
+def full_vector(spark, d):
+    return features.full_vector(_reads(spark, d), table(spark, d, "contigs"), genome(spark, d), CHUNK)
+
+
 QUERIES = {
+    "reference_text": (
+        reference_text,
+        f"""WITH w AS (SELECT ord, contig_idx, greatest(begin_pos - 125, 0) AS a, least(begin_pos + length(seq) + 125, c.length) AS b FROM (SELECT ord, contig_idx, begin_pos, seq {USABLE}) JOIN contigs c USING (contig_idx)),
+        k AS (SELECT ord, contig_idx, a, b, unnest(range(a // 32, (b - 1) // 32 + 1)) AS i FROM w WHERE b > a),
+        t AS (SELECT ord, a, b, string_agg(translate(md5(contig_idx || '|' || (i // {CHUNK // 32}) || '|' || (i % {CHUNK // 32})), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY i) AS s FROM k GROUP BY ALL),
+        p AS (SELECT ord, substr(s, CAST(a - a // 32 * 32 + 1 AS BIGINT), CAST(b - a AS BIGINT)) AS piece FROM t)
+        SELECT ord, md5(piece) AS piece_md5, CAST(length(piece) AS INTEGER) AS letters, length(regexp_replace(piece, '[^CG]', '', 'g'))::DOUBLE / length(piece) AS ref_gc_content FROM p""",
+    ),
+    "reference_features": (reference_features, None),
+    "full_vector": (full_vector, None),
     "recal_join": (
         lambda s, d: recalibrate.recalibrated(_reads(s, d).select("ord", "read_name", "mapq"), table(s, d, "scores")),
         f"SELECT r.ord, r.read_name, coalesce(nullif(n.mapq_new, -1), r.mapq) AS mapq FROM reads r LEFT JOIN {SCORES} n USING (read_name)",
@@ -165,5 +207,14 @@ QUERIES = {
         f"""WITH l AS (SELECT ord, {LABEL} AS label {USABLE}), n AS (SELECT label, count(*) AS n FROM l WHERE label IS NOT NULL GROUP BY label)
         SELECT ord, label FROM l WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY {draw_sql("ord", 1)}, ord) <= (SELECT min(n) FROM n)""",
     ),
-    "resample_pools": (pools, None),
+    "resample_pools": (
+        pools,
+        f"""WITH l AS (SELECT ord, CASE WHEN label = 1 THEN CASE WHEN mapq < 20 THEN 'TP' ELSE 'FN' END ELSE CASE WHEN mapq < 20 THEN 'FP' ELSE 'TN' END END AS pool
+          FROM (SELECT ord, mapq, {LABEL} AS label {USABLE}) WHERE label IS NOT NULL AND mapq IS NOT NULL),
+        r AS (SELECT ord, pool, row_number() OVER (PARTITION BY pool ORDER BY {draw_sql("ord", 1)}, ord) - 1 AS number FROM l),
+        s AS (SELECT pool, count(*) AS n, (SELECT count(*) FROM l WHERE pool = 'FP') AS fp FROM l GROUP BY pool),
+        d AS (SELECT pool, n, unnest(range(1, 1 + CASE WHEN pool IN ('FN', 'TN') THEN 1 WHEN fp = 0 THEN 0 WHEN pool = 'FP' THEN fp - 1 ELSE fp * 2 - 1 END)) AS draw_no FROM s),
+        x AS (SELECT pool, CAST(draw_no AS INTEGER) AS draw_no, CAST({draw_sql("pool || '|' || draw_no", 1)} % n AS BIGINT) AS number FROM d)
+        SELECT pool, draw_no, ord FROM x JOIN r USING (pool, number)""",
+    ),
 }

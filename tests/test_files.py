@@ -92,6 +92,11 @@ def test_command_line(spark, tmp_path):
     contigs = f"{SF}/contigs.parquet"
     cli.main(["features", "--reads", f"{SF}/reads.parquet", "--out", str(tmp_path / "f"), "--features", "mapq,edit_distance"], spark)
     assert spark.read.csv(str(tmp_path / "f"), sep="\t").count() > 500
+    cli.main(["features", "--reads", f"{SF}/reads.parquet", "--out", str(tmp_path / "all")], spark)
+    whole = text_files.read_features(spark, str(tmp_path / "all"))
+    # without a genome only the columns of the reference window are 0
+    empty = {c for c in whole.columns[1:] if whole.where(f"{c} <> 0").isEmpty()}
+    assert {c for c in empty if not c.startswith("ref_")} <= {"gap_opens", "gap_extensions"} and len([c for c in empty if c.startswith("ref_")]) == 6
     scores = tmp_path / "scores.tsv"
     name = table(spark, SF, "reads").first()["read_name"]
     scores.write_text(f"{name}\t3\n{name}\t77\n")

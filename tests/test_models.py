@@ -87,3 +87,39 @@ def test_neighbours(spark):
     assert got[0] == 0 and got[5] == 1 and got[2] == 0.5
     by = {r["query"]: r["score"] for r in neighbors.knn_scores(df, ["x"], "y", "i", 2, by_distance=True).collect()}
     assert np.isclose(by[2], (1 / 0.5) / (1 / 0.5 + 1))
+
+
+def test_searched_boosting(rings):
+    model = boost.searched(rings, rates=(0.5, 1.0), rounds=(2, 12), folds=2)
+    assert len(model.stumps) == 12 and f1(model.scored(rings)) > 0.8
+    # a shorter fit is the beginning of a longer one
+    assert boost.adaboost(rings, 3).stumps == boost.adaboost(rings, 5).stumps[:3]
+
+
+def test_the_pool_loses_rows_of_the_subset_alone(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(i < 40), Vectors.dense([float(rng.normal(3.0 * (i < 40)))])) for i in range(600)]
+    df = spark.createDataFrame(rows, ["feat_id", "label", "features"]).persist()
+    pool = df.where("label = 0")
+    for step in range(3):
+        subset = undersample.undersampled(df.where("label = 1").unionByName(pool), "label", "feat_id", seed=step).persist()
+        model = undersample.estimator("lr", 10.0, 80).fit(subset)
+        left = undersample.shrunk(pool, subset, model, 1)
+        lost = {r["feat_id"] for r in pool.collect()} - {r["feat_id"] for r in left.collect()}
+        assert 20 < len(lost) <= 40 and lost <= {r["feat_id"] for r in subset.where("label = 0").collect()}
+        pool = left
+
+
+def test_reranked(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        y = int(rng.random() < 0.5)
+        x = rng.normal(size=2) + (2.0 * y, 0.0)
+        rows.append((i, y, Vectors.dense([float(v) for v in x]), 0.9 if i % 4 else 0.1))
+    df = spark.createDataFrame(rows, ["feat_id", "label", "features", "score"])
+    got = {r["feat_id"]: r["score"] for r in neighbors.reranked(df, 2).collect()}
+    assert len(got) == 300
+    assert sum((got[i] > 0.5) == (rows[i][1] == 1) for i in got) > 230
+    one = neighbors.reranked(df.where("label = 1"), 2).collect()
+    assert one and all(r["score"] == 0.9 for r in one)
