@@ -143,7 +143,8 @@ def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, groups: np.ndarray,
             for a in range(0, len(q), PAIRS):
                 who, where = q[a : a + PAIRS], leaf[a : a + PAIRS]
                 d = leaf_norms[where] - 2 * np.matmul(leaves[where], queries[who, :, None])[:, :, 0] + norms[who, None]
-                r, c = np.nonzero((d <= bound[who, None] + slack) & (leaf_groups[where] != own[who, None]))
+                # a filler is infinitely far, which no bound is before k rows are found
+                r, c = np.nonzero((d <= bound[who, None] + slack) & (d < np.inf) & (leaf_groups[where] != own[who, None]))
                 got_q.append(who[r])
                 got_r.append(at[where[r], c])
             if got_q:

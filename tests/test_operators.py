@@ -109,7 +109,10 @@ def test_pileup(spark):
 def test_average_precision(spark):
     df = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.7, 1), (0.3, 0), (0.2, 1), (None, 1), (0.1, None)], "score double, label int")
     assert round(metrics.average_precision(df).first()[0], 6) == 0.755556
-    assert round(metrics.average_precision(df, ranges=2).first()[0], 6) == 0.755556
+    many = spark.range(5000).select((F.pow(F.rand(3), 9)).alias("score"), (F.rand(4) < 0.3).cast("int").alias("label")).persist()
+    rows = sorted(((r["score"], r["label"]) for r in many.collect()), reverse=True)
+    hits = np.cumsum([y for _, y in rows])
+    assert np.isclose(metrics.average_precision(many).first()[0], sum(h / (i + 1) for i, (h, (_, y)) in enumerate(zip(hits, rows)) if y) / hits[-1])
     assert metrics.average_precision(df.limit(0)).first()[0] is None
     same = spark.createDataFrame([(0.5, 1), (0.5, 0)], "score double, label int")
     assert metrics.average_precision(same).first()[0] == 0.5
