@@ -97,12 +97,11 @@ def allele_counts(reads: DataFrame, least_quality: int = 5) -> DataFrame:
     Bases combine before the shuffle, which carries at most five rows for a position and task.
     """
     own = reads.where(F.col("contig_idx").isNotNull() & ~F.coalesce("is_unmapped", F.lit(False))).select("contig_idx", "begin_pos", "seq", "qual")
-    # a read's bases with their places and qualities; what comes out of the explode is these alone, not the read again for each
-    pairs = F.zip_with(F.split(F.upper("seq"), ""), F.split("qual", ""), lambda b, q: F.struct(b.alias("base"), (F.ascii(q) - 33).alias("q")))
-    placed = F.transform(pairs, lambda x, i: F.struct((F.col("begin_pos") + i).alias("pos"), x["base"].alias("base"), x["q"].alias("q")))
-    bases = own.where("length(seq) > 0 AND length(qual) > 0").select("contig_idx", F.explode(placed).alias("x")).select("contig_idx", "x.*")
+    # what comes out of the explode is a base, its quality and its place, not the read again for each
+    apart = own.where("length(seq) > 0 AND length(qual) > 0").select("contig_idx", "begin_pos", F.split(F.upper("seq"), "").alias("base"), F.split("qual", "").alias("q"))
+    bases = apart.select("contig_idx", "begin_pos", F.posexplode(F.arrays_zip("base", "q")).alias("i", "x"))
     # the longer of two strings of different length has no partner: null passes no filter
-    fine = bases.where((F.col("q") >= least_quality) & F.col("base").isNotNull())
+    fine = bases.where((F.ascii("x.q") - 33 >= least_quality) & F.col("x.base").isNotNull()).select("contig_idx", (F.col("begin_pos") + F.col("i")).alias("pos"), "x.base")
     return fine.groupBy("contig_idx", "pos", "base").agg(F.count(F.lit(1)).alias("n"))
 
 
