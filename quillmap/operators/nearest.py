@@ -299,9 +299,11 @@ def nearest_rows(
     Queries are rows of the table: those whose id is in ``queries`` (null, repeated and unknown ids count for nothing), or
     those that ``wanted`` keeps; all, if neither is given. All rows are indexed and searched. Rows of a query's own
     ``group`` (by default the row itself) are no neighbours. A query has fewer than ``k`` rows only if the table has no more.
+    Rows without an id neither ask nor are found.
     With ``work`` the result is ``query`` and ``verified``, the number of rows whose true distance was taken.
     """
     spark = rows.sparkSession
+    rows = rows.where(F.col(row_id).isNotNull())
     asked = rows if wanted is None else rows.where(wanted)
     if queries is not None:
         probe = queries.select(row_id).where(F.col(row_id).isNotNull()).distinct()

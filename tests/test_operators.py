@@ -166,6 +166,9 @@ def test_nearest_is_exact(spark, monkeypatch):
         order = sorted((d[q, j], j) for j in range(700) if j != q)[:4]
         assert got[q] == [j for _, j in order]
     assert nearest_rows(df.limit(0), ["a", "b", "c"], 4, "i").count() == 0
+    holes = df.where("i < 300").withColumn("i", F.when(F.col("i") % 3 > 0, F.col("i")))
+    found = nearest_rows(holes, ["a", "b", "c"], 4, "i").collect()
+    assert len(found) == 800 and all(r["query"] % 3 and r["id"] % 3 for r in found)
 
 
 def test_peel_gives_up():
