@@ -71,8 +71,8 @@ class Scale:
 def scale_of(featscale: DataFrame) -> Scale:
     """A table of one row a feature; features without name or with a spread of 0, null or NaN are left out."""
     rows = featscale.where("feature IS NOT NULL AND spread <> 0 AND NOT isnan(spread) AND centre IS NOT NULL AND fallback IS NOT NULL").orderBy("feature").limit(1001).collect()
-    if not rows or len(rows) > 1000:
-        raise ValueError("between 1 and 1,000 features with a scale are needed")
+    if len(rows) > 1000:
+        raise ValueError("at most 1,000 features make a vector")
     return Scale(rows)
 
 
@@ -86,12 +86,15 @@ def similar_rows(
     indexed and searched. Redelivered rows of a query's own read are no neighbours; a row without a name is a read of its own.
     Among rows equally far the lower id comes first. Vectors are held as float32, so distances are exact to about seven
     digits. A query has fewer than ``k`` rows only if the table has no more rows of other reads; an empty table gives none.
+    Rows without an id neither ask nor are found. Without any feature that has a scale there are no vectors, and no rows come out.
 
     The test stops a search once the nearest unseen leaf lies so far off in the projection that a row nearer than the k-th best
     would be projected nearer with the chance ``sure``; the same test keeps a query from cells that far away. With ``work`` the
     result is ``query`` and ``verified``, the number of rows whose true distance was taken for it.
     """
     scale = scale_of(featscale)
+    if not scale.features:
+        return rows.sparkSession.createDataFrame([], "query bigint, verified bigint" if work else "query bigint, id bigint, distance double")
     return nearest_rows(
         rows, scale.features, k, row_id, F.xxhash64(read_key(F.col(name), F.col(row_id))), queries, wanted,
         vectors=scale.vectors, space=StableProjection(len(scale.features), DIMS, sure, seed), dtype="float32", seed=seed, work=work,

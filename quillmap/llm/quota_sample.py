@@ -34,11 +34,13 @@ def last_classes(rows: DataFrame, row_id: str = "feat_id") -> DataFrame:
 def targets(draws: DataFrame) -> DataFrame:
     """``draw_id``, ``run``, ``class_code`` and ``target``, the greater of the floor and the rounded share of the draw.
 
-    A missing share, floor or size counts as 0; repeated entries of a draw's class count once, with the greatest target.
+    A missing share, floor or size counts as 0; repeated entries of a draw's class count once, with the greatest target; entries
+    without a draw or a class count for nothing.
     """
     share = F.round(F.coalesce(F.nanvl("share", F.lit(0.0)), F.lit(0.0)) * F.coalesce("draw_size", F.lit(0))).cast("bigint")
     return (
-        draws.select(*GROUP, cleaned(F.col("run_id")).alias("run"), F.greatest(share, F.coalesce("floor_rows", F.lit(0)).cast("bigint")).alias("target"))
+        draws.where("draw_id IS NOT NULL AND class_code IS NOT NULL")
+        .select(*GROUP, cleaned(F.col("run_id")).alias("run"), F.greatest(share, F.coalesce("floor_rows", F.lit(0)).cast("bigint")).alias("target"))
         .groupBy(*GROUP, "run")
         .agg(F.max("target").alias("target"))
     )

@@ -85,11 +85,14 @@ def split_rows(rows: DataFrame, alias: DataFrame, shares: DataFrame, row_id: str
 
     Mates and redelivered rows share their template, tied templates their component; a row without a name is a group of its
     own. Shares are weights (null, NaN or not above 0: the split gets nothing); they are met in expectation over groups, so a group that
-    holds a large share of the rows moves the row shares by as much. An empty table gives no rows; no usable share is an error.
+    holds a large share of the rows moves the row shares by as much. An empty table gives no rows; without any usable share every
+    row comes out with a null split.
     """
     weights = {r[0]: r[1] for r in shares.where("split_name IS NOT NULL AND share > 0 AND NOT isnan(share)").select("split_name", "share").limit(1001).collect()}
-    if not weights or len(weights) > 1000:
-        raise ValueError("between 1 and 1,000 splits with a share above 0 are needed")
+    if len(weights) > 1000:
+        raise ValueError("at most 1,000 splits may have a share above 0")
+    if not weights:
+        return rows.select(row_id, F.lit(None).cast("string").alias("split_name"))
     tied = labelled_rows(rows, alias, row_id, name, "left")
     key = F.coalesce("component", "template", F.concat(F.lit("row "), F.col(row_id).cast("string")))
     return tied.select(row_id, rendezvous(key, weights, seed).alias("split_name"))

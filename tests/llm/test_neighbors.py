@@ -52,5 +52,7 @@ def test_dirt(spark, table):
     assert neighbors.similar_rows(small.limit(0), scale).count() == 0
     assert neighbors.similar_rows(small, scale, probe.limit(0)).count() == 0
     assert neighbors.similar_rows(small.where("feat_id IN (1, 2)"), scale).count() == 2
-    with pytest.raises(ValueError):
-        neighbors.similar_rows(small, scale.limit(0))
+    assert neighbors.similar_rows(small, scale.limit(0)).collect() == []
+    nameless = small.withColumn("feat_id", F.when(F.col("feat_id") % 2 == 1, F.col("feat_id")))
+    got = neighbors.similar_rows(nameless, scale).collect()
+    assert {r["query"] % 2 for r in got} == {r["id"] % 2 for r in got} == {1}
