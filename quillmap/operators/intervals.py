@@ -91,23 +91,23 @@ def flipped(begin: Column, length: Column, contig_length: Column) -> Column:
     return contig_length - begin - length
 
 
-def allele_counts(reads: DataFrame, least_quality: int = 5) -> DataFrame:
-    """Bases by contig and position: ``contig_idx``, ``pos`` (0-based), ``base`` and ``n``, from bases of at least that quality.
+def allele_counts(reads: DataFrame, least_quality: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """Bases by contig and position (and ``by``): ``contig_idx``, ``pos`` (0-based), ``base`` and ``n``, from bases of at least that quality.
 
     Bases combine before the shuffle, which carries at most five rows for a position and task.
     """
-    own = reads.where(F.col("contig_idx").isNotNull() & ~F.coalesce("is_unmapped", F.lit(False))).select("contig_idx", "begin_pos", "seq", "qual")
+    own = reads.where(F.col("contig_idx").isNotNull() & ~F.coalesce("is_unmapped", F.lit(False))).select(*by, "contig_idx", "begin_pos", "seq", "qual")
     # what comes out of the explode is a base, its quality and its place, not the read again for each
-    apart = own.where("length(seq) > 0 AND length(qual) > 0").select("contig_idx", "begin_pos", F.split(F.upper("seq"), "").alias("base"), F.split("qual", "").alias("q"))
-    bases = apart.select("contig_idx", "begin_pos", F.posexplode(F.arrays_zip("base", "q")).alias("i", "x"))
+    apart = own.where("length(seq) > 0 AND length(qual) > 0").select(*by, "contig_idx", "begin_pos", F.split(F.upper("seq"), "").alias("base"), F.split("qual", "").alias("q"))
+    bases = apart.select(*by, "contig_idx", "begin_pos", F.posexplode(F.arrays_zip("base", "q")).alias("i", "x"))
     # the longer of two strings of different length has no partner: null passes no filter
-    fine = bases.where((F.ascii("x.q") - 33 >= least_quality) & F.col("x.base").isNotNull()).select("contig_idx", (F.col("begin_pos") + F.col("i")).alias("pos"), "x.base")
-    return fine.groupBy("contig_idx", "pos", "base").agg(F.count(F.lit(1)).alias("n"))
+    fine = bases.where((F.ascii("x.q") - 33 >= least_quality) & F.col("x.base").isNotNull()).select(*by, "contig_idx", (F.col("begin_pos") + F.col("i")).alias("pos"), "x.base")
+    return fine.groupBy(*by, "contig_idx", "pos", "base").agg(F.count(F.lit(1)).alias("n"))
 
 
-def variable_positions(counts: DataFrame, least_reads: int = 2, least_share: float = 0.2) -> DataFrame:
-    """Positions where the second most frequent base has enough reads and share: a plain allele-count caller."""
+def variable_positions(counts: DataFrame, least_reads: int = 2, least_share: float = 0.2, by: tuple[str, ...] = ()) -> DataFrame:
+    """Positions (by ``by``) where the second most frequent base has enough reads and share: a plain allele-count caller."""
     order = F.reverse(F.array_sort(F.collect_list(F.struct("n", "base"))))
-    sites = counts.where("base <> 'N'").groupBy("contig_idx", "pos").agg(order.alias("b"), F.sum("n").alias("depth"))
-    sites = sites.where(F.size("b") > 1).select("contig_idx", "pos", "depth", F.col("b")[0]["base"].alias("major"), F.col("b")[1]["base"].alias("minor"), F.col("b")[1]["n"].alias("minor_n"))
+    sites = counts.where("base <> 'N'").groupBy(*by, "contig_idx", "pos").agg(order.alias("b"), F.sum("n").alias("depth"))
+    sites = sites.where(F.size("b") > 1).select(*by, "contig_idx", "pos", "depth", F.col("b")[0]["base"].alias("major"), F.col("b")[1]["base"].alias("minor"), F.col("b")[1]["n"].alias("minor_n"))
     return sites.where((F.col("minor_n") >= least_reads) & (F.col("minor_n") >= F.col("depth") * least_share))

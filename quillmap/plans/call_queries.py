@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmap.functions.variant_values import allele, alternatives, contig_code, plain_list, quality_cents
-from quillmap.operators import variants
+from quillmap.operators import experiment, variants
+from quillmap.plans.read_queries import SCORES, SEEDS, SHARE, USABLE, draw_sql
 from quillmap.sources.tables import table
 
 
@@ -57,6 +58,14 @@ def drop_empty_fields(spark, d):
     return rows.withColumn("line", F.concat(line, F.lit("\t."))).where(~F.col("line").contains("\t\t")).groupBy(F.lower(F.trim("callset")).alias("callset")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def replicate_stats(spark, d):
+    """Down-samples through recalibration, pile-up calls and their rates; the SNPs of the mirror copy are the truth."""
+    names = table(spark, d, "contigs").select("contig_idx", F.regexp_replace("name", "^chr", "").alias("_code"))
+    truth = table(spark, d, "vcf_mirror").where("is_snp").select(contig_code(F.col("chrom")).alias("_code"), (F.col("pos") - 1).alias("pos")).join(names, "_code")
+    sites = experiment.replicate_sites(table(spark, d, "reads"), table(spark, d, "scores"), SEEDS, SHARE)
+    return experiment.replicate_rates(sites, truth, SEEDS)
+
+
 CODE = "regexp_replace(lower(regexp_replace(chrom, '\\s+', '', 'g')), '^(chr)?0*', '')"
 CALLS = f"""SELECT lower(trim(callset)) AS callset, 'chr' || {CODE} AS chrom, pos, upper(trim(ref_allele)) AS ref_allele,
   array_to_string(list_sort(string_split(upper(trim(alt_allele)), ',')), ',') AS alt_allele,
@@ -80,7 +89,27 @@ def plain_lists(spark, d):
     return table(spark, d, "vcf_mirror").groupBy(F.regexp_replace(plain_list(text), "^([1-7])", "chr$1").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_CHANGE = ", ".join(f"({c}_after / nullif({c}_before, 0) - 1) * 100 AS {c}_change" for c in ("precision", "recall"))
+_RATES = ", ".join(f"tp_{s}, fp_{s}, t.n - tp_{s} AS fn_{s}, tp_{s}::DOUBLE / nullif(tp_{s} + fp_{s}, 0) AS precision_{s}, tp_{s}::DOUBLE / nullif(t.n, 0) AS recall_{s}" for s in ("before", "after"))
+_HITS = ", ".join(f"count(*) FILTER (stage = '{s}' AND k.pos IS {n}) AS {c}_{s}" for s in ("before", "after") for c, n in (("tp", "NOT NULL"), ("fp", "NULL AND b.pos IS NOT NULL")))
+_DRAWN = " UNION ALL ".join(f"SELECT *, {x} AS replicate FROM r WHERE {draw_sql('qname', x)} < {SHARE} * 4294967296" for x in SEEDS)
+
 QUERIES = {
+    "replicate_stats": (
+        replicate_stats,
+        f"""WITH r AS (SELECT u.*, coalesce(nullif(n.mapq_new, -1), u.mapq) AS m2 FROM (SELECT read_name, qname, contig_idx, begin_pos, seq, qual, mapq {USABLE}) u LEFT JOIN {SCORES} n USING (read_name)),
+        d AS ({_DRAWN}), s AS (SELECT *, 'before' AS stage FROM d WHERE mapq >= 20 UNION ALL SELECT *, 'after' FROM d WHERE m2 >= 20),
+        b AS (SELECT replicate, stage, contig_idx, begin_pos + i - 1 AS pos, upper(substr(seq, i, 1)) AS base, ascii(substr(qual, i, 1)) - 33 AS q
+          FROM (SELECT *, unnest(range(1, 1 + least(length(seq), length(qual)))) AS i FROM s)),
+        c AS (SELECT replicate, stage, contig_idx, pos, base, count(*) AS n FROM b WHERE q >= 5 AND base <> 'N' GROUP BY ALL),
+        o AS (SELECT *, row_number() OVER w AS k, sum(n) OVER (PARTITION BY replicate, stage, contig_idx, pos) AS depth FROM c WINDOW w AS (PARTITION BY replicate, stage, contig_idx, pos ORDER BY n DESC, base DESC)),
+        v AS (SELECT replicate, stage, contig_idx, pos FROM o WHERE k = 2 AND n >= depth * 0.2),
+        k AS (SELECT DISTINCT contig_idx, v.pos - 1 AS pos FROM vcf_mirror v JOIN contigs c ON c.name = 'chr' || regexp_replace(lower(regexp_replace(v.chrom, '\\s+', '', 'g')), '^(chr)?0*', '') WHERE is_snp AND v.pos IS NOT NULL),
+        t AS (SELECT count(*) AS n FROM k),
+        h AS (SELECT x.replicate, {_HITS} FROM (SELECT unnest({SEEDS}) AS replicate) x LEFT JOIN v b USING (replicate) LEFT JOIN k ON k.contig_idx = b.contig_idx AND k.pos = b.pos GROUP BY 1),
+        f AS (SELECT CAST(replicate AS INTEGER) AS replicate, {_RATES} FROM h, t)
+        SELECT *, {_CHANGE} FROM f""",
+    ),
     "plain_lists": (
         plain_lists,
         """SELECT regexp_replace(coalesce(trim(chrom), '') || ', ' || coalesce(trim(ref_allele), ''), '^([1-7])', 'chr\\1') AS line, count(*) AS n FROM vcf_mirror GROUP BY 1""",

@@ -56,6 +56,11 @@ def stratified(spark, d):
     return sampling.stratified_split(rows, "label", "ord")
 
 
+def trace_det(spark, d):
+    rows = _reads(spark, d).select("ord", S.sequence_invariants("seq").alias("v"))
+    return rows.select("ord", F.round("v.trace", 6).alias("trace"), F.round("v.det", 6).alias("det"))
+
+
 def pools(spark, d):
     rows = features.labelled(_reads(spark, d)).select("ord", "label", (F.col("mapq") < 20).cast("int").alias("predicted"))
     return sampling.resampled_pools(rows, "label", "predicted", "ord")
@@ -187,6 +192,18 @@ QUERIES = {
         SELECT k.ord, CAST(k.cell AS INTEGER) AS cell, round(coalesce(g.distance, 0), 6) AS distance FROM k LEFT JOIN g ON g.ord = k.ord AND g.cell = k.cell""",
     ),
     "seq_invariants": (lambda s, d: _reads(s, d).select("ord", S.sequence_invariants("seq").alias("v")).select("ord", "v.*"), None),
+    "seq_trace_det": (
+        trace_det,
+        f"""WITH p AS (SELECT ord, i, position(substr(seq, i, 1) IN 'ACGT') - 1 AS b FROM (SELECT ord, upper(seq) AS seq, unnest(range(1, length(seq) + 1)) AS i FROM reads)),
+        g AS (SELECT a.ord, a.b AS r, c.b AS c, avg(abs(a.i - c.i)) AS x FROM p a JOIN p c ON a.ord = c.ord WHERE a.b >= 0 AND c.b >= 0 GROUP BY ALL),
+        s AS (SELECT ord, min(x) AS low, nullif(max(x) - min(x), 0) AS wide, sqrt(count(*)) AS k FROM g GROUP BY ord HAVING count(*) > 1),
+        m AS (SELECT s.ord, any_value(k) AS k, {", ".join(f"coalesce(max((x - low) / wide) FILTER (r = {a} AND c = {b}), {int(a == b)}) AS m{a}{b}" for a in range(4) for b in range(4))}
+          FROM s JOIN g USING (ord) WHERE wide IS NOT NULL GROUP BY s.ord),
+        d AS (SELECT ord, m00 + m11 + m22 + m33 - (4 - k) AS t,
+          (m00 * m11 - m10 * m01) * (m22 * m33 - m32 * m23) - (m00 * m12 - m10 * m02) * (m21 * m33 - m31 * m23) + (m00 * m13 - m10 * m03) * (m21 * m32 - m31 * m22)
+          + (m01 * m12 - m11 * m02) * (m20 * m33 - m30 * m23) - (m01 * m13 - m11 * m03) * (m20 * m32 - m30 * m22) + (m02 * m13 - m12 * m03) * (m20 * m31 - m30 * m21) AS det FROM m)
+        SELECT reads.ord, round(t, 6) AS trace, round(det, 6) AS det FROM reads LEFT JOIN d USING (ord)""",
+    ),
     "balanced_sample": (
         lambda s, d: sampling.balanced_reads(_reads(s, d)).select("ord", "label"),
         f"""WITH l AS (SELECT ord, {LABEL} AS label {USABLE}),

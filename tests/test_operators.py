@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmap.operators import intervals, metrics, sampling, skew
+from quillmap.operators import experiment, intervals, metrics, sampling, skew
 from quillmap.operators.exact_take import random_key, take_smallest
 from quillmap.operators.nearest import nearest_rows
 from quillmap.operators.table_diff import latest, peel, table_diff
@@ -106,6 +106,21 @@ def test_pileup(spark):
     assert {r["pos"] for r in intervals.variable_positions(counts).collect()} == {6}
 
 
+def test_replicates_through_the_chain(spark):
+    """Names 0-9 cover place 100 with A or C; recalibration brings in what was below the limit; every replicate takes all names."""
+    rows = [(f"n{i}", f"n{i}", 1, 100, False, "A" if i % 2 else "C", "I", 30 if i < 2 else 10, 50, 0) for i in range(10)]
+    rows += [(f"m{i}", f"m{i}", 1, 200, False, "AC"[i % 2], "I", 10, 50, 0) for i in range(4)] + [("u", "u", 1, 300, True, "A", "I", 30, 50, 0), (None, None, 2, None, None, None, None, None, None, None)]
+    reads = spark.createDataFrame(rows, "read_name string, qname string, contig_idx int, begin_pos int, is_unmapped boolean, seq string, qual string, mapq int, as_ int, xs int")
+    scores = spark.createDataFrame([(f"m{i}", 40, i) for i in range(4)] + [("n0", 40, 9), (None, 1, 10)], "read_name string, mapq_new int, ord bigint")
+    truth = spark.createDataFrame([(1, 100), (1, 100), (1, 900), (None, 5)], "contig_idx int, pos int")
+    got = experiment.replicate_rates(experiment.replicate_sites(reads, scores, [1, 2], 1.0), truth, [1, 2]).orderBy("replicate").collect()
+    for r in got:
+        assert (r["tp_before"], r["fp_before"], r["fn_before"]) == (1, 0, 1) and (r["tp_after"], r["fp_after"], r["fn_after"]) == (1, 1, 1)
+        assert r["precision_before"] == 1 and r["precision_change"] == -50 and r["recall_change"] == 0
+    none = experiment.replicate_rates(experiment.replicate_sites(reads.limit(0), scores, [1], 1.0), truth, [1]).collect()
+    assert [(r["replicate"], r["tp_after"], r["fn_after"], r["precision_after"]) for r in none] == [(1, 0, 2, None)]
+
+
 def test_average_precision(spark):
     df = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.7, 1), (0.3, 0), (0.2, 1), (None, 1), (0.1, None)], "score double, label int")
     assert round(metrics.average_precision(df).first()[0], 6) == 0.755556
