@@ -75,6 +75,11 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
 
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The digest of each document's text as it comes back from its ids."""
+    return tokens.token_texts(tokens.token_ids(table(spark, d, "documents"))).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     _, report = mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))
     return report.where("unmet").select("source")
@@ -88,6 +93,21 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """For each source, whether the mix keeps its budget and its repeats, misses the budget by less than a thousandth or has used all repeats,
+    and whether each of its documents is in the mix as often as any other or once more."""
+    mix, report = mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))
+    copies = mix.groupBy("source").agg(F.max("copies").alias("_most"), F.min("copies").alias("_least"))
+    return report.join(copies, "source", "left").select(
+        "source",
+        "max_repeats",
+        (F.col("mixed") <= F.col("budget")).alias("within_budget"),
+        (F.coalesce("_most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"),
+        (F.col("unmet") | (F.col("budget") - F.col("mixed") <= F.col("budget") / 1000 + 1)).alias("budget_met"),
+        (F.coalesce(F.col("_most") - F.col("_least"), F.lit(0)) <= 1).alias("even_copies"),
+    )
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return abuse.flagged(abuse.content_scores(table(spark, d, "documents"))).select("doc_id")
 
@@ -149,6 +169,11 @@ WITH k AS (SELECT feat_id, {_CLEAN.format(c="read_name")} AS n FROM feats),
 r AS (SELECT count(DISTINCT coalesce({_STEM.format(x="n")} || '|' || regexp_extract(n, '::\d+\D*([12])', 1), 'row ' || feat_id)) AS n FROM k)
 SELECT n AS n_reads, n AS n_number, 0::BIGINT AS least_number, n - 1 AS most_number, n AS n_position, 0::BIGINT AS least_position, n - 1 AS most_position, least(n, 1000) AS n_sampled FROM r
 """
+P6_TEXTS_SQL = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents"
+P7_CHECKS_SQL = rf"""
+SELECT {_CLEAN.format(c="source")} AS source, max(max_repeats) AS max_repeats, true AS within_budget, true AS within_repeats, true AS budget_met, true AS even_copies
+FROM mix_target WHERE source IS NOT NULL GROUP BY 1
+"""
 P4_SQL = _P4 + "SELECT draw_id, class_code FROM p WHERE available < target"
 P4_REPORT_SQL = _P4 + """
 SELECT draw_id, class_code, run, target, available, greatest(0, target - available) AS deficit, least(target, available) AS drawn FROM p"""
@@ -166,8 +191,10 @@ LLM = {
     "p4_report": (p4_report, P4_REPORT_SQL),
     "p4_sample": (p4_sample, None),
     "p6_ids": (p6_ids, None),
+    "p6_texts": (p6_texts, P6_TEXTS_SQL),
     "p7_found": (p7_found, None),
     "p7_mix": (p7_mix, None),
+    "p7_checks": (p7_checks, P7_CHECKS_SQL),
     "p7_shares": (p7_shares, None),
     "p8_found": (p8_found, None),
     "p8_scores": (p8_scores, None),

@@ -190,6 +190,23 @@ def _lists(ids: pa.Array, flat: list[np.ndarray], ends: list[int], name: str) ->
     return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=[name, "ids"])
 
 
+def token_texts(rows: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
+    """``doc_id`` and ``text`` of every list of ids: the way back from :func:`token_ids`.
+
+    A null list gives a null text, an empty one an empty text. Bytes that aren't UTF-8, as where a list was cut within a letter, become U+FFFD.
+    """
+    path = path or vocabulary()
+    id_type = rows.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {rank: word for word, rank in encoder(path).ranks.items()}
+        for batch in batches:
+            texts = [None if own is None else b"".join([token[i] for i in own]).decode("utf-8", "replace") for own in (x.as_py() for x in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[doc_id, "text"])
+
+    return rows.select(doc_id, F.col(ids).alias("_ids")).mapInArrow(run, f"`{doc_id}` {id_type}, text string")
+
+
 def token_counts(docs: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """The columns ``keep`` of every document with ``tokens``, the number of its ids; 0 for null and empty texts."""
     path = path or vocabulary()

@@ -1,5 +1,7 @@
 """Encoding, mixtures and content scores."""
 
+from collections import Counter
+
 import random
 
 import pytest
@@ -57,6 +59,14 @@ def test_text_dirt(spark):
     assert {r["tokens"] for r in tokens.token_counts(docs.limit(2), ["doc_id"]).collect()} == {0}
 
 
+def test_texts_come_back(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "naïve Straße\r\n\tкот 日本 😀"), (3, "x" * 5000), (None, "a")], "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in tokens.token_texts(tokens.token_ids(docs)).collect())
+    assert got == Counter((r["doc_id"], r["text"] or "") for r in docs.collect())
+    odd = spark.createDataFrame([(1, None), (2, []), (3, tokens.encoder(tokens.vocabulary()).encode("😀")[:1])], "doc_id int, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in tokens.token_texts(odd).collect()} == {1: None, 2: "", 3: "\ufffd"}
+
+
 def test_fit_budget():
     rng = random.Random(0)
     for _ in range(200):
