@@ -165,9 +165,11 @@ def searched(rows: DataFrame, rates: tuple[float, ...] = (0.5, 1.0), rounds: tup
 
 
 def easy_ensemble(rows: DataFrame, bags: int = 3, rounds: int = 5, seed: int = 1) -> Boosted:
-    """The mean of AdaBoost models, each on all of the smaller class and its own sample of the larger."""
-    n1, n = rows.agg(F.sum("label"), F.count(F.lit(1))).first()
-    small, ratio = (1, n1 / max(1, n - n1)) if n1 * 2 <= n else (0, (n - n1) / n1)
+    """The mean of AdaBoost models, each on all of the smaller class and its own sample of the larger. No rows, or rows of one class, give no stumps."""
+    n1, n = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
+    if n1 in (0, n):
+        return Boosted([])
+    small, ratio = (1, n1 / (n - n1)) if n1 * 2 <= n else (0, (n - n1) / n1)
     stumps = []
     for bag in range(bags):
         own = rows.where((F.col("label") == small) | (draw(F.col("feat_id"), seed * 7919 + bag) < ratio * (1 << 32)))

@@ -6,7 +6,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
 from quillmap.functions import reads as R
-from quillmap.ml import boost, calibrate, dataset, neighbors, undersample
+from quillmap.ml import boost, calibrate, dataset, neighbors, trees, undersample
 from quillmap.ml.dataset import DEFAULT_FEATURES
 from quillmap.operators import metrics
 from quillmap.session import stored
@@ -73,6 +73,13 @@ def train_gbt(spark, d):
     return dataset.report("gbt", model.transform(test).withColumn("score", dataset.chance()))
 
 
+def train_gbt_searched(spark, d):
+    """Boosted trees whose settings come from a randomised search."""
+    train, test = _data(spark, d)
+    model, _ = trees.searched_trees(dataset.balanced_weights(train))
+    return dataset.report("gbt_searched", model.transform(test).withColumn("score", dataset.chance()))
+
+
 def train_gbt_stopped(spark, d):
     """Boosted trees that stop once a tenth of the training rows, held back, no longer improves."""
     train, test = _data(spark, d)
@@ -142,6 +149,7 @@ QUERIES = {
     "train_easy_ensemble": (train_easy_ensemble, None),
     "train_bagging": (train_bagging, None),
     "train_gbt": (train_gbt, None),
+    "train_gbt_searched": (train_gbt_searched, None),
     "train_gbt_stopped": (train_gbt_stopped, None),
     "predicted_scores": (predicted_scores, None),
     "rerank_positives": (rerank_positives, None),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from quillmap.ml import boost, calibrate, dataset, neighbors, store, undersample
+from quillmap.ml import boost, calibrate, dataset, neighbors, store, trees, undersample
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +43,20 @@ def test_boosting_one_class(rings):
 
 def test_easy_ensemble(rings):
     assert f1(boost.easy_ensemble(rings, bags=2, rounds=6).scored(rings)) > 0.75
+    only = rings.where("label = 1")
+    assert boost.easy_ensemble(only).stumps == [] == boost.easy_ensemble(only.limit(0)).stumps
+    assert boost.easy_ensemble(only).scored(only).count() == only.count()
+
+
+def test_searched_trees(rings):
+    drawn = trees.drawn_settings(30, seed=4)
+    assert len({tuple(x.values()) for x in drawn}) == 30 and drawn == trees.drawn_settings(30, seed=4)
+    choices = {"maxIter": (1, 8), "maxDepth": (1, 4)}
+    assert len(trees.drawn_settings(99, choices=choices)) == 4
+    model, setting = trees.searched_trees(dataset.balanced_weights(rings), tries=4, choices=choices)
+    # stumps can't tell a square from its surroundings
+    assert setting["maxDepth"] == 4 and model.getNumTrees == setting["maxIter"]
+    assert f1(model.transform(rings).withColumn("score", dataset.chance())) > 0.95
 
 
 def test_iterative_and_bagging(spark):

@@ -14,7 +14,7 @@ from quillmap.plans.registry import CORE
 from quillmap.sources.schemas import FEATURE_FILE
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"train_undersample", "train_second_stage", "train_rusboost", "train_easy_ensemble"}
+SLOW = {"train_undersample", "train_second_stage", "train_rusboost", "train_easy_ensemble", "train_gbt_searched"}
 REPORT = {"model", "metric", "value"}
 COLUMNS = {
     "sequence_features": {"ord", "read_gc_content", "read_complexity_score", "qual_intercept", "qual_slope", "qual_r_value", "read_eigenval_1", "read_eigenval_2", "read_trace", "read_det"},
