@@ -94,16 +94,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_checks(spark: SparkSession, d: str) -> DataFrame:
-    """For each source, whether the mix keeps its budget and its repeats, misses the budget by less than a thousandth or has used all repeats,
-    and whether each of its documents is in the mix as often as any other or once more."""
-    mix, report = mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))
-    copies = mix.groupBy("source").agg(F.max("copies").alias("_most"), F.min("copies").alias("_least"))
-    return report.join(copies, "source", "left").select(
+    """For each source, whether the mix keeps its budget and its repeats, has used all repeats or has no room for even the shortest document
+    that could come once more, and whether each of its documents is in the mix as often as any other or once more."""
+    docs = table(spark, d, "documents")
+    mix, report = mixture.mixture(docs, table(spark, d, "mix_target"))
+    sizes = mixture.sized_documents(docs).where("tokens > 0").join(report.select("source", "whole", "max_repeats"), "source")
+    every = sizes.join(mix.select("doc_id", "copies"), "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
+    again = F.min(F.when((F.col("copies") <= F.col("whole")) & (F.col("copies") < F.col("max_repeats")), F.col("tokens"))).alias("_again")
+    by = every.groupBy("source").agg(again, F.max("copies").alias("_most"), F.min("copies").alias("_least"))
+    return report.join(by, "source", "left").select(
         "source",
         "max_repeats",
         (F.col("mixed") <= F.col("budget")).alias("within_budget"),
         (F.coalesce("_most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"),
-        (F.col("unmet") | (F.col("budget") - F.col("mixed") <= F.col("budget") / 1000 + 1)).alias("budget_met"),
+        (F.col("unmet") | F.coalesce(F.col("mixed") + F.col("_again") > F.col("budget"), F.col("mixed") == F.floor("budget"))).alias("budget_met"),
         (F.coalesce(F.col("_most") - F.col("_least"), F.lit(0)) <= 1).alias("even_copies"),
     )
 
