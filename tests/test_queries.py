@@ -1,6 +1,6 @@
 """Every query of the core with SQL, in Spark and in DuckDB, over the smallest tables; the others run and have their columns.
 
-Those in ``SLOW`` fit hundreds of models; their operators are tested in ``test_models.py`` and ``test_ensemble_queries.py``.
+Those in ``SLOW`` fit many models; their operators are tested in ``test_models.py`` and ``test_ensemble_queries.py``.
 """
 
 from collections import Counter
