@@ -1,4 +1,4 @@
-"""k-nearest-neighbour classification and Tomek links, over exact nearest rows."""
+"""k-nearest-neighbour classification and Tomek links, over exact nearest rows and exact mutual ones."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmap.ml import undersample
 from quillmap.operators import metrics
+from quillmap.operators.mutual import mutual_pairs
 from quillmap.operators.nearest import nearest_rows
 from quillmap.session import stored
 
@@ -30,13 +31,7 @@ def knn_scores(rows: DataFrame, features: list[str], label: str, row_id: str, k:
 
 def tomek_links(rows: DataFrame, features: list[str], label: str, row_id: str) -> DataFrame:
     """``a`` < ``b``: rows of different classes that are each other's nearest row."""
-    known = rows.where(F.col(label).isNotNull())
-    one = nearest_rows(known, features, 1, row_id).select("query", "id")
-    back = one.select(F.col("id").alias("query"), F.col("query").alias("id"))
-    mutual = one.join(back, ["query", "id"]).where("query < id").select(F.col("query").alias("a"), F.col("id").alias("b"))
-    y = known.select(F.col(row_id).alias("_id"), F.col(label).alias("_y"))
-    ya, yb = y.select(F.col("_id").alias("a"), F.col("_y").alias("_ya")), y.select(F.col("_id").alias("b"), F.col("_y").alias("_yb"))
-    return mutual.join(ya, "a").join(yb, "b").where("_ya <> _yb").select("a", "b")
+    return mutual_pairs(rows, features, label, row_id)
 
 
 def reranked(rows: DataFrame, dims: int, row_id: str = "feat_id", threshold: float = 0.5, digits: int = 6) -> DataFrame:
